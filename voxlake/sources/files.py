@@ -61,9 +61,14 @@ def parse_header(text: str) -> dict:
     }
 
 
-def _leading_text(uri: str) -> str:
+def open_path(uri: str):
+    """Byte stream of a file on any file system the workers know."""
     filesystem, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-    with filesystem.open_input_stream(path) as stream:
+    return filesystem.open_input_stream(path)
+
+
+def _leading_text(uri: str) -> str:
+    with open_path(uri) as stream:
         return stream.read(HEADER_BYTES).split(b"\n\n", 1)[0].decode("latin-1")
 
 

@@ -6,12 +6,17 @@ refuse larger splits, which belong in ``write_split_table``.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.errors import BoundError, ChecksumError
 from voxlake.operators import folds as folds_
 from voxlake.schemas import MANIFEST, N_FOLDS, SPLIT_SEED
+from voxlake.sources.files import open_path
 
 MAX_DOCUMENT_CASES = 1_000_000
 
@@ -26,13 +31,22 @@ def _write_document(document: DataFrame, path: str) -> None:
     document.coalesce(1).write.mode("overwrite").text(path)
 
 
+def _digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        digests = []
+        for uri in batch["path"]:
+            digest = hashlib.sha256()
+            with open_path(uri) as stream:
+                while chunk := stream.read(1 << 20):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"path": batch["path"], "sha256": digests})
+
+
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of each file's raw bytes."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select("path", F.sha2("content", 256).alias("sha256"))
-    )
+    """(path, sha256) of each file's raw bytes, streamed, so a file may be of any size."""
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.mapInPandas(_digest_batches, "path string, sha256 string")
 
 
 def read_manifest_record(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:

@@ -330,3 +330,102 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding",
         "label",
     )
+
+
+HEADERS_SQL = """
+SELECT concat('DATA_', CAST(p_partkey AS VARCHAR(12)), '.nrrd') AS path,
+  CASE WHEN p_size = 1 THEN 4 ELSE 3 END AS dim,
+  CASE WHEN p_size = 2 THEN NULL ELSE [p_size + 10, p_size + 20, p_size + 30] END AS sizes,
+  CASE WHEN p_size = 3 THEN NULL
+    WHEN p_size = 4 THEN [[1.0, 0.0], [0.0, 1.0]]
+    WHEN p_size = 5 THEN [[0.5, 0.0, 0.0], [0.0, 0.5, 0.0], [0.0, 0.0, 0.5]]
+    WHEN p_size = 6 THEN [[1.000005, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    ELSE [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]] END AS directions,
+  CASE WHEN p_size = 7 THEN NULL WHEN p_size = 8 THEN [1.0, 0.0, 0.0]
+    ELSE [0.0, 0.0, 0.0] END AS origin,
+  CASE WHEN p_size = 9 THEN 'float' ELSE 'uint8' END AS dtype,
+  [p_size + CASE WHEN p_size = 10 THEN 11 ELSE 10 END, p_size + 20, p_size + 30] AS shape,
+  [0.3, CASE WHEN p_size = 11 THEN 0.30001 ELSE 0.3 END, CASE WHEN p_size = 12 THEN 0.4 ELSE 0.5 END]
+    AS spacing
+FROM part
+"""
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume headers, most of them the placeholder and some broken in one field."""
+    identity = "array(array(1D, 0D, 0D), array(0D, 1D, 0D), array(0D, 0D, 1D))"
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('DATA_', CAST(p_partkey AS STRING), '.nrrd') AS path",
+        "CASE WHEN p_size = 1 THEN 4 ELSE 3 END AS dim",
+        """CASE WHEN p_size = 2 THEN NULL ELSE
+             array(p_size + 10L, p_size + 20L, p_size + 30L) END AS sizes""",
+        f"""CASE WHEN p_size = 3 THEN NULL
+             WHEN p_size = 4 THEN array(array(1D, 0D), array(0D, 1D))
+             WHEN p_size = 5 THEN array(array(0.5D, 0D, 0D), array(0D, 0.5D, 0D), array(0D, 0D, 0.5D))
+             WHEN p_size = 6 THEN array(array(1.000005D, 0D, 0D), array(0D, 1D, 0D), array(0D, 0D, 1D))
+             ELSE {identity} END AS directions""",
+        """CASE WHEN p_size = 7 THEN NULL WHEN p_size = 8 THEN array(1D, 0D, 0D)
+             ELSE array(0D, 0D, 0D) END AS origin""",
+        "CASE WHEN p_size = 9 THEN 'float' ELSE 'uint8' END AS dtype",
+        """array(p_size + CASE WHEN p_size = 10 THEN 11L ELSE 10L END, p_size + 20L, p_size + 30L)
+             AS shape""",
+        """array(0.3D, CASE WHEN p_size = 11 THEN 0.30001D ELSE 0.3D END,
+             CASE WHEN p_size = 12 THEN 0.4D ELSE 0.5D END) AS spacing""",
+    )
+
+
+SLOTS_SQL = f"""
+SELECT case_id, fold, det_idx, score, vec_id,
+  min_d0 + 0.5 AS s0, min_d1 + score AS s1, max_d0 - 30 + 10 * score AS s2, max_d1 + 0.5 AS s3,
+  min_d2 - score AS s4, max_d2 + 1.5 AS s5
+FROM ({PROPOSALS_SQL}) p
+"""
+
+
+def slot_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals as fractional detector slots; some are degenerate."""
+    return proposals_flat(spark, sf_dir).selectExpr(
+        "case_id",
+        "fold",
+        "det_idx",
+        "score",
+        "vec_id",
+        """array(min_d0 + 0.5D, min_d1 + score, max_d0 - 30 + 10 * score, max_d1 + 0.5D,
+             min_d2 - score, max_d2 + 1.5D) AS slots""",
+    )
+
+
+RUNS_SQL = """
+SELECT c_nationkey AS campaign, CAST(c_custkey % 5 AS INT) AS fold, c_custkey AS run_id,
+  abs(c_acctbal) / 20 AS gpu_hours
+FROM customer
+"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector runs with their GPU hours, grouped into campaigns."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_nationkey AS campaign",
+        "CAST(c_custkey % 5 AS INT) AS fold",
+        "c_custkey AS run_id",
+        "abs(c_acctbal) / 20 AS gpu_hours",
+    )
+
+
+SWEEP_SQL = """
+SELECT CAST(user_id % 5 AS INT) AS fold, event_type AS parameter, event_id AS ordinal,
+  concat('v', CAST(event_id AS VARCHAR(12))) AS label,
+  CASE WHEN value < 1 THEN NULL ELSE round(value) END AS value
+FROM events
+"""
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweep entries with many tied values and some without the metric."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "CAST(user_id % 5 AS INT) AS fold",
+        "event_type AS parameter",
+        "event_id AS ordinal",
+        "concat('v', CAST(event_id AS STRING)) AS label",
+        "CASE WHEN value < 1 THEN NULL ELSE round(value) END AS value",
+    )
