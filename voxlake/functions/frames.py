@@ -64,14 +64,24 @@ def integer_endpoint_check(center: Sequence[Column], size: Sequence[Column]) ->
 
 
 def csv_to_box(center: Sequence[Column], size: Sequence[Column], check: bool = True) -> Column:
-    """Storage box of a center/size row; a non-integer endpoint fails the task."""
+    """Storage box of a center/size row; a non-integer endpoint fails the task.
+
+    Every endpoint guards itself, which keeps each bound a small expression of its
+    own wherever the optimiser moves it.
+    """
+
+    def endpoint(value: Column, name: str) -> Column:
+        if not check:
+            return F.rint(value)
+        message = F.concat(
+            F.lit(f"endpoint {name} is not an integer voxel: "), value.cast("string")
+        )
+        return F.when(is_integer_endpoint(value), F.rint(value)).otherwise(F.raise_error(message))
+
     minima, maxima = csv_endpoints(center, size)
-    box = make_box([F.rint(v) for v in minima[::-1]], [F.rint(v) for v in maxima[::-1]])
-    if not check:
-        return box
-    bad = integer_endpoint_check(center, size)
-    message = F.concat(F.lit("endpoint is not an integer voxel: "), bad)
-    return F.when(bad.isNull(), box).otherwise(F.raise_error(message))
+    lows = [endpoint(v, f"min_{a}") for v, a in zip(minima, "xyz", strict=True)]
+    highs = [endpoint(v, f"max_{a}") for v, a in zip(maxima, "xyz", strict=True)]
+    return make_box(lows[::-1], highs[::-1])
 
 
 def box_to_csv(box: Column) -> Column:

@@ -20,7 +20,8 @@ def _with_cells(df: DataFrame, box: str, cell: int) -> DataFrame:
     """One row per grid cell a box touches; boxes of unblocked cases stay one row."""
     whole = F.array(F.lit(0).cast("bigint"))
     for i, span in enumerate(_cells(F.col(box), cell)):
-        df = df.withColumn(f"_c{i}", F.explode(F.when(F.col("_blocked"), span).otherwise(whole)))
+        touched = F.when(F.col("_blocked"), span).otherwise(whole)
+        df = df.withColumn(f"_c{i}", F.explode_outer(touched))
     return df
 
 
@@ -45,9 +46,11 @@ def iou_join(
         raise ValueError("a threshold below 0 would pair all boxes of a case")
     blocked = hot_groups(right, [case], max_group).withColumn("_blocked", F.lit(True))
     sides = []
-    for df, box in ((left, left_box), (right, right_box)):
-        flagged = df.join(blocked, case, "left").withColumn(
-            "_blocked", F.coalesce("_blocked", F.lit(False))
+    for df, box, volume in ((left, left_box, "_vl"), (right, right_box, "_vr")):
+        flagged = (
+            df.join(blocked, case, "left")
+            .withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
+            .withColumn(volume, B.box_volume(F.col(box)))
         )
         sides.append(_with_cells(flagged, box, cell))
     first, second = sides
@@ -57,9 +60,12 @@ def iou_join(
     for i, axis in enumerate(AXES):
         corner = F.floor(F.greatest(B.lower(a, axis), B.lower(b, axis)) / cell)
         at_corner = at_corner & (~F.col("_blocked") | (corner == F.col(f"_c{i}")))
+    # the test divides once and needs no zero case: an empty intersection is never above 0
+    inter = B.intersection_volume(a, b)
+    iou = inter / (F.col("_vl") + F.col("_vr") - inter)
     return (
         first.join(second, keys)
-        .withColumn("iou", B.iou_3d(a, b))
-        .where((F.col("iou") > threshold) & at_corner)
-        .drop("_blocked", "_c0", "_c1", "_c2")
+        .where((iou > threshold) & at_corner)
+        .withColumn("iou", iou)
+        .drop("_blocked", "_vl", "_vr", "_c0", "_c1", "_c2")
     )

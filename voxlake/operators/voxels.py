@@ -166,12 +166,10 @@ def tight_boxes(voxels: DataFrame) -> DataFrame:
 # --- resampling -------------------------------------------------------------
 
 
-def _axis_targets(index: Column, size: Column, spacing: float, target: float, mode: str) -> Column:
-    """``array<struct<i, w>>``: output indices one source index contributes to.
+def _axis_candidates(index: Column, size: Column, spacing: float, target: float) -> Column:
+    """Output indices that may read a source index along one axis.
 
-    An output at ``i * target / spacing`` reads its two neighbours (linear) or the
-    closest index (nearest, halves up). Beyond half a voxel past the last index the
-    output is 0; the last source index emits such outputs with weight 0.
+    The last source index also answers for the outputs beyond it.
     """
     step = F.lit(target / spacing)
     last = size - 1
@@ -180,27 +178,28 @@ def _axis_targets(index: Column, size: Column, spacing: float, target: float, mo
     high = F.least(
         n_out - 1, F.when(index == last, n_out - 1).otherwise(F.ceil((index + 1) / step))
     )
-    candidates = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-
-    def weigh(i: Column) -> Column:
-        at = i * step
-        outside = at > last + F.lit(0.5)
-        inner = F.least(at, last.cast("double"))
-        if mode == "nearest":
-            weight = F.when(F.least(F.floor(at + 0.5), last) == index, F.lit(1.0))
-        else:
-            below = F.floor(inner)
-            above = F.least(below + 1, last)
-            parts = F.when(below == index, below + 1 - inner).otherwise(0.0) + F.when(
-                above == index, inner - below
-            ).otherwise(0.0)
-            weight = F.when(parts > 0, parts)
-        return F.struct(
-            i.alias("i"),
-            F.when(outside, F.when(index == last, F.lit(0.0))).otherwise(weight).alias("w"),
-        )
+    none = F.array().cast("array<bigint>")
+    return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+
+def _axis_weight(
+    out: Column, index: Column, size: Column, spacing: float, target: float, mode: str
+) -> Column:
+    """Weight of a source index in an output index, NULL where it has none.
 
-    return F.filter(F.transform(candidates, weigh), lambda e: e["w"].isNotNull())
+    An output at ``out * target / spacing`` reads its two neighbours (linear) or the
+    closest index (nearest, halves up). Beyond half a voxel past the last index the
+    output is 0, which the last source index states with weight 0.
+    """
+    last = size - 1
+    at = out * F.lit(target / spacing)
+    if mode == "nearest":
+        weight = F.when(F.least(F.floor(at + 0.5), last) == index, F.lit(1.0))
+    else:
+        # distance to the clamped position; neighbours are closer than one voxel
+        near = 1 - F.abs(F.least(at, last.cast("double")) - index)
+        weight = F.when(near > 0, near)
+    return F.when(at > last + F.lit(0.5), F.when(index == last, F.lit(0.0))).otherwise(weight)
 
 
 def resample_volume(
@@ -226,20 +225,23 @@ def resample_volume(
     out = voxels.select("case_id", *AXES, value).join(
         sizes.select("case_id", *counts), "case_id"
     )
+    # axis by axis, so that voxels no output reads are dropped as early as possible
     for i, axis in enumerate(AXES):
-        targets = _axis_targets(
-            F.col(axis).cast("bigint"),
-            F.col(f"n_{axis}").cast("bigint"),
-            spacing[i],
-            target[i],
-            mode,
+        index, size = F.col(axis).cast("bigint"), F.col(f"n_{axis}").cast("bigint")
+        out = (
+            out.withColumn(
+                f"_i_{axis}", F.explode(_axis_candidates(index, size, spacing[i], target[i]))
+            )
+            .withColumn(
+                f"_w_{axis}",
+                _axis_weight(F.col(f"_i_{axis}"), index, size, spacing[i], target[i], mode),
+            )
+            .where(F.col(f"_w_{axis}").isNotNull())
         )
-        # exploding axis by axis drops unread voxels as early as possible
-        out = out.withColumn(f"_t_{axis}", F.explode(targets))
-    weight = F.col(f"_t_{AXES[0]}.w") * F.col(f"_t_{AXES[1]}.w") * F.col(f"_t_{AXES[2]}.w")
+    weight = F.col(f"_w_{AXES[0]}") * F.col(f"_w_{AXES[1]}") * F.col(f"_w_{AXES[2]}")
     placed = out.select(
         "case_id",
-        *[F.col(f"_t_{a}.i").alias(a) for a in AXES],
+        *[F.col(f"_i_{a}").alias(a) for a in AXES],
         (F.col(value) * weight).alias(value),
     )
     if mode == "nearest":

@@ -19,16 +19,21 @@ def _whole_files(spark: SparkSession, glob: str, fold_pattern: str) -> DataFrame
     return spark.read.text(glob, wholetext=True).select("value", path.alias("path"), fold.alias("fold"))
 
 
-def read_fold_metrics(
-    spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH
-) -> DataFrame:
-    """(fold, metric, value) from flat JSON files of string metrics."""
-    pairs = _whole_files(spark, glob, fold_pattern).select(
+def metric_documents(documents: DataFrame) -> DataFrame:
+    """(fold, metric, value) of JSON documents ``(fold, value)`` of string metrics."""
+    pairs = documents.select(
         "fold", F.explode(F.from_json("value", "map<string,string>")).alias("metric", "val")
     )
     return parse_metrics(pairs)
 
 
+def read_fold_metrics(
+    spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH
+) -> DataFrame:
+    """Metrics of one flat JSON file per fold."""
+    return metric_documents(_whole_files(spark, glob, fold_pattern))
+
+
 def parse_score_repr(text: Column) -> Column:
     """Map of a dictionary printed with single quotes and bare ``nan``; {} if malformed."""
     quoted = F.regexp_replace(text, r"\bnan\b", "NaN")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from voxlake.workload import box_queries, table_queries, views
+from voxlake.workload import box_queries, job_queries, table_queries, views
 from voxlake.workload.registry import Query
 
-_MODULES = (box_queries, table_queries)
+_MODULES = (box_queries, table_queries, job_queries)
 
 # view name -> SQL; later views may read earlier ones
 _VIEWS = {

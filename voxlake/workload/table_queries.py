@@ -240,7 +240,7 @@ def j11(spark, d):
 
 
 NEAREST_SQL = """
-SELECT case_id, fold, det_idx, arg_min(tile_idx, (dist, tile_idx)) AS tile_idx, round(min(dist), 6) AS distance FROM (
+SELECT case_id, fold, det_idx, arg_min(tile_idx, (dist, tile_idx)) AS tile_idx, round(min(dist), 9) AS distance FROM (
   SELECT s.case_id, s.fold, s.det_idx, t.tile_idx, ((s0 + s2) / 2 - o_d0 - 12) ** 2 + ((s1 + s3) / 2 - o_d1 - 12) ** 2
     + ((s4 + s5) / 2 - o_d2 - 12) ** 2 AS dist
   FROM slots s JOIN tiles t ON s.case_id = t.case_id) x GROUP BY ALL
@@ -250,7 +250,7 @@ SELECT case_id, fold, det_idx, arg_min(tile_idx, (dist, tile_idx)) AS tile_idx,
 @query("j12_nearest_tile", NEAREST_SQL.replace("GROUP BY ALL", "GROUP BY case_id, fold, det_idx"))
 def j12(spark, d):
     placed = P.nearest_tile(V.slot_detections(spark, d), V.tiles(spark, d), V.CROP)
-    return placed.select(*KEYS, "tile_idx", r(F.col("distance")).alias("distance"))
+    return placed.select(*KEYS, "tile_idx", r(F.col("distance"), 9).alias("distance"))
 
 
 POINTS_SQL = """
@@ -400,11 +400,11 @@ def cluster_ctes(source: str, threshold: float = 0.5) -> str:
 @query(
     "a3_cluster_reduce",
     cluster_ctes("SELECT * FROM proposals JOIN embeddings USING (vec_id)")
-    + """ SELECT case_id, seed_det_idx, n_members, round(e0, 5) AS e0, round(e31, 5) AS e31, round(e63, 5) AS e63,
+    + """ SELECT case_id, seed_det_idx, n_members, round(e0, 5) + 0.0 AS e0, round(e31, 5) + 0.0 AS e31, round(e63, 5) + 0.0 AS e63,
          round(sqrt(e2), 4) AS norm FROM (
          SELECT case_id, owner, max(seed) AS seed_det_idx, sum(n)::BIGINT AS n_members, max(CASE WHEN i = 1 THEN m END) AS e0,
            max(CASE WHEN i = 32 THEN m END) AS e31, max(CASE WHEN i = 64 THEN m END) AS e63, sum(m * m) AS e2 FROM (
-           SELECT case_id, owner, i, avg(x) AS m, CASE WHEN i = 1 THEN count(*) ELSE 0 END AS n,
+           SELECT case_id, owner, i, avg(x)::FLOAT::DOUBLE AS m, CASE WHEN i = 1 THEN count(*) ELSE 0 END AS n,
              max(CASE WHEN rk = owner THEN det_idx END) AS seed
            FROM (SELECT r.case_id, r.rk, w.owner, r.det_idx, unnest(range(1, 65)) AS i, unnest(r.embedding)::DOUBLE AS x
              FROM ranked r JOIN walk w ON r.case_id = w.case_id AND r.rk = w.rk) u GROUP BY case_id, owner, i) v
