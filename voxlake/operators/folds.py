@@ -27,13 +27,19 @@ def stratified_folds(
     """
     if k < 2:
         raise ValueError(f"need at least 2 folds, got {k}")
-    by_first = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per class
-    starts = (
+    # one row holding the few classes, in order; a class starts after those before it
+    classes = (
         cases.groupBy("label")
-        .agg(F.min("case_id").alias("_first"), F.count("*").alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(by_first), F.lit(0)))
-        .select("label", "_start")
+        .agg(F.min("case_id").alias("first"), F.count("*").alias("n"))
+        .agg(F.array_sort(F.collect_list(F.struct("first", "label", "n"))).alias("_classes"))
+    )
+    before = F.aggregate(
+        F.slice("_classes", F.lit(1), F.col("_at")),
+        F.lit(0).cast("bigint"),
+        lambda total, c: total + c["n"],
+    )
+    starts = classes.select("_classes", F.posexplode("_classes").alias("_at", "_class")).select(
+        F.col("_class.label").alias("label"), before.alias("_start")
     )
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_id").cast("string")))
     shuffled = rank_in_buckets(

@@ -10,18 +10,27 @@ from voxlake.operators.skew import hot_groups
 from voxlake.schemas import AXES
 
 
-def _cells(box: Column, cell: int) -> list[Column]:
+def touched_cells(box: Column, cell: int) -> list[Column]:
+    """Per axis, the range of grid cells a box touches."""
     return [
         F.sequence(F.floor(B.lower(box, a) / cell), F.floor(B.upper(box, a) / cell)) for a in AXES
     ]
 
 
-def _with_cells(df: DataFrame, box: str, cell: int) -> DataFrame:
-    """One row per grid cell a box touches; boxes of unblocked cases stay one row."""
+def center_cells(box: Column, cell: int) -> list[Column]:
+    """Per axis, the one cell of a box's (rounded down) centre."""
+    return [
+        F.array(F.floor(F.floor((B.lower(box, a) + B.upper(box, a)) / 2) / cell)) for a in AXES
+    ]
+
+
+def _with_cells(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """One row per cell; boxes of unblocked cases stay one row."""
     whole = F.array(F.lit(0).cast("bigint"))
-    for i, span in enumerate(_cells(F.col(box), cell)):
-        touched = F.when(F.col("_blocked"), span).otherwise(whole)
-        df = df.withColumn(f"_c{i}", F.explode_outer(touched))
+    for i, span in enumerate(cells):
+        df = df.withColumn(
+            f"_c{i}", F.explode_outer(F.when(F.col("_blocked"), span).otherwise(whole))
+        )
     return df
 
 
@@ -37,10 +46,13 @@ def iou_join(
 ) -> DataFrame:
     """Pairs within a case with IoU strictly above ``threshold``, with their ``iou``.
 
-    Cases beyond ``max_group`` right-hand boxes are blocked on a grid: both sides
-    repeat per touched cell, and a pair is reported only in the cell that holds the
-    lower corner of its intersection, so no duplicates need removing. Column names
-    other than the case must differ between the sides.
+    Cases beyond ``max_group`` right-hand boxes are blocked on a grid. From a
+    threshold of 0.5 on, a pair shares more than half of either box on every axis and
+    so contains both centres: left boxes stand in the cell of their centre, right
+    boxes in every cell they touch. Below that both sides repeat per touched cell, and
+    a pair is reported only in the cell that holds the lower corner of its
+    intersection. Either way no duplicates need removing. Column names other than the
+    case must differ between the sides.
     """
     if threshold < 0:
         raise ValueError("a threshold below 0 would pair all boxes of a case")
@@ -52,12 +64,13 @@ def iou_join(
             .withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
             .withColumn(volume, B.box_volume(F.col(box)))
         )
-        sides.append(_with_cells(flagged, box, cell))
+        pick = center_cells if threshold >= 0.5 and df is left else touched_cells
+        sides.append(_with_cells(flagged, pick(F.col(box), cell)))
     first, second = sides
     keys = [case, "_blocked", "_c0", "_c1", "_c2"]
     a, b = F.col(left_box), F.col(right_box)
     at_corner = F.lit(True)
-    for i, axis in enumerate(AXES):
+    for i, axis in enumerate(AXES if threshold < 0.5 else ()):
         corner = F.floor(F.greatest(B.lower(a, axis), B.lower(b, axis)) / cell)
         at_corner = at_corner & (~F.col("_blocked") | (corner == F.col(f"_c{i}")))
     # the test divides once and needs no zero case: an empty intersection is never above 0
@@ -65,7 +78,8 @@ def iou_join(
     iou = inter / (F.col("_vl") + F.col("_vr") - inter)
     return (
         first.join(second, keys)
-        .where((iou > threshold) & at_corner)
+        # the corner test is cheap and settles most repeated pairs
+        .where(at_corner & (iou > threshold))
         .withColumn("iou", iou)
         .drop("_blocked", "_vl", "_vr", "_c0", "_c1", "_c2")
     )

@@ -41,6 +41,7 @@ from voxlake.workload.table_queries import (
     PAIRS_SQL,
     POINTS_SQL,
     PROVENANCE_SQL,
+    SOURCED_SQL,
     campaign_metrics,
     cluster_ctes,
     corner_sql,
@@ -527,16 +528,15 @@ def s5(spark, d):
     return rows.groupBy("case_id").agg(F.count("*").alias("n"))
 
 
-@query(
-    "s6_candidate_store",
-    "SELECT case_id, det_idx, score, fold AS source FROM proposals WHERE case_id % 3 = 0",
-)
+@query("s6_candidate_store", f"""SELECT case_id, det_idx, split, array_to_string(src, ',') AS sources, score
+    FROM ({SOURCED_SQL}) c JOIN proposals USING (case_id, fold, det_idx)""")
 def s6(spark, d):
-    """Written by split; the train folder is read back (every third case is train)."""
+    """Written by split and read back, ragged source lists included."""
     path = scratch(spark, "candidates")
     T.write_candidates(sourced(spark, d), path)
-    rows = T.read_candidates(spark, path, "train")
-    return rows.select("case_id", "det_idx", "score", F.col("source_detectors")[0].alias("source"))
+    sources = F.array_join(F.col("source_detectors").cast("array<string>"), ",")
+    rows = T.read_candidates(spark, path)
+    return rows.select("case_id", "det_idx", "split", sources.alias("sources"), "score")
 
 
 @query(
