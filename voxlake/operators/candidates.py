@@ -218,8 +218,11 @@ def require_provenance(
 # --- summaries --------------------------------------------------------------
 
 
-def candidate_summary(candidates: DataFrame) -> DataFrame:
-    """Per split: volumes, candidates, mean per volume, mean score, sources, embedding size."""
+def candidate_summary(candidates: DataFrame, dim: int | None = None) -> DataFrame:
+    """Per split: volumes, candidates, mean per volume, mean score, sources, embedding size.
+
+    A known embedding width ``dim`` speeds the norms up.
+    """
     n_vols = F.count_distinct("case_id")
     scalars = candidates.groupBy("split").agg(
         n_vols.alias("n_vols"),
@@ -227,7 +230,7 @@ def candidate_summary(candidates: DataFrame) -> DataFrame:
         (F.count("*") / n_vols).alias("mean_per_vol"),
         F.avg("score").alias("mean_score"),
         F.max(F.size("embedding")).alias("emb_dim"),
-        F.avg(l2_norm(F.col("embedding"))).alias("mean_l2"),
+        F.avg(l2_norm(F.col("embedding"), dim)).alias("mean_l2"),
     )
     sources = (
         candidates.select("split", F.explode("source_detectors").alias("s"))
@@ -293,9 +296,11 @@ def embedding_audit(detections: DataFrame, dim: int) -> DataFrame:
 
     ``detections(case_id, det_idx, slots, score, embedding)``.
     """
-    norm = l2_norm(F.col("embedding"))
+    norm = l2_norm(F.col("embedding"), dim)
     n = F.count("*")
-    first_box = F.min_by("slots", "det_idx")
+    box = F.col("slots")
+    # picking a flag instead of the box array keeps the aggregate on the hash path
+    box_ok = (box[2] >= box[0]) & (box[3] >= box[1]) & (box[5] >= box[4])
     right_size = F.size("embedding") == dim
     grouped = detections.groupBy("case_id").agg(
         n.alias("n"),
@@ -304,12 +309,10 @@ def embedding_audit(detections: DataFrame, dim: int) -> DataFrame:
         F.min(norm).alias("norm_min"),
         F.max(norm).alias("norm_max"),
         F.avg(norm).alias("norm_mean"),
-        first_box.alias("_box"),
+        F.min_by(box_ok, F.col("det_idx")).alias("box_ok"),
         # rows of another width have no variance here; shape_ok reports them
         vector_agg(F.when(right_size, F.col("embedding")), dim, F.var_pop).alias("_v"),
     )
-    box = F.col("_box")
-    box_ok = (box[2] >= box[0]) & (box[3] >= box[1]) & (box[5] >= box[4])
     total = F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x)
     return grouped.select(
         "case_id",
@@ -317,7 +320,7 @@ def embedding_audit(detections: DataFrame, dim: int) -> DataFrame:
         "shape_ok",
         (F.col("norm_max") > 1e-6).alias("nonzero_ok"),
         ((F.col("n") == 1) | (F.array_max("_v") > 1e-12)).alias("varies_ok"),
-        box_ok.alias("box_ok"),
+        "box_ok",
         "scores_ok",
         "norm_min",
         "norm_max",

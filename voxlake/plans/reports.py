@@ -51,7 +51,7 @@ def candidate_report(
     other = next((s for s in ("val", "test") if s in present), None)
     out = {
         "provenance": C.provenance_report(candidates, membership),
-        "summary": C.candidate_summary(candidates),
+        "summary": C.candidate_summary(candidates, dim),
     }
     if "train" in present and other is not None:
         out["gap"] = C.embedding_variance_gap(

@@ -142,7 +142,7 @@ _TILE_BOXES = f"""SELECT td.case_id, tile_idx AS fold, td.det_idx, score, e0, e1
           FROM (SELECT r.*, w.owner FROM ranked r JOIN walk w ON r.case_id = w.case_id AND r.rk = w.rk) m GROUP BY case_id, owner""",
 )
 def x4(spark, d):
-    tiled = V.slot_detections(spark, d).withColumn("tile_idx", F.expr("CAST(det_idx % 8 AS INT)"))
+    tiled = V.spread(V.slot_detections(spark, d)).withColumn("tile_idx", F.expr("CAST(det_idx % 8 AS INT)"))
     out = E.tile_candidates(
         tiled, V.tiles(spark, d), V.tile_features(spark, d), V.TILE_FMAP, 2
     )
@@ -175,7 +175,7 @@ _BOX_POINTS = f"""SELECT case_id, fold, det_idx, tile_idx, ((s0 - o_d0) / 6.0 +
 )
 def x5(spark, d):
     pooled = P.pool_at_boxes(
-        V.slot_detections(spark, d),
+        V.spread(V.slot_detections(spark, d)),
         V.tiles(spark, d),
         V.tile_features(spark, d),
         V.CROP,

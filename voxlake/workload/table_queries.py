@@ -80,7 +80,7 @@ def j3(spark, d):
         FROM proposals p JOIN truth_boxes t ON p.case_id = t.case_id) x) y WHERE iou > 0.3""",
 )
 def j4(spark, d):
-    left = V.proposals(spark, d).select(*KEYS, F.col("box").alias("left_box"))
+    left = V.spread(V.proposals(spark, d)).select(*KEYS, F.col("box").alias("left_box"))
     right = truth_boxes(spark, d).select("case_id", F.col("box").alias("right_box"))
     return iou_join(left, right, 0.3).select(*KEYS, r(F.col("iou"), 9).alias("iou"))
 
@@ -96,7 +96,7 @@ def j4(spark, d):
 def j4_pairs(spark, d):
     """Agreement between folds, from all overlapping boxes of different folds."""
     both = V.proposals(spark, d)
-    left = both.select("case_id", F.col("fold").alias("a"), F.col("box").alias("left_box"))
+    left = V.spread(both).select("case_id", F.col("fold").alias("a"), F.col("box").alias("left_box"))
     right = both.select("case_id", F.col("fold").alias("b"), F.col("box").alias("right_box"))
     # about half of the cases exceed this bound and take the grid-blocked plan
     joined = iou_join(left, right, 0.5, cell=32, max_group=100).where("a < b")
@@ -251,7 +251,7 @@ SELECT case_id, fold, det_idx, arg_min(tile_idx, (dist, tile_idx)) AS tile_idx,
 
 @query("j12_nearest_tile", NEAREST_SQL.replace("GROUP BY ALL", "GROUP BY case_id, fold, det_idx"))
 def j12(spark, d):
-    placed = P.nearest_tile(V.slot_detections(spark, d), V.tiles(spark, d), V.CROP)
+    placed = P.nearest_tile(V.spread(V.slot_detections(spark, d)), V.tiles(spark, d), V.CROP)
     return placed.select(*KEYS, "tile_idx", r(F.col("distance"), 9).alias("distance"))
 
 
@@ -263,7 +263,7 @@ SELECT l_suppkey AS tile_id,
 
 
 def points(spark, d):
-    return V.table(spark, d, "lineitem").selectExpr(
+    return V.spread(V.table(spark, d, "lineitem")).selectExpr(
         "l_suppkey AS tile_id",
         """((l_orderkey) * 8 + l_linenumber) * 10000000000 + l_partkey * 10000
              + CAST(l_quantity AS BIGINT) AS point_id""",
@@ -475,7 +475,7 @@ SELECT split, n_vols, n AS n_candidates, round(n / CAST(n_vols AS DOUBLE), 6) AS
 @query("a5_candidate_summary", SUMMARY_SQL)
 def a5(spark, d):
     vectors = V.table(spark, d, "embeddings").select("vec_id", "embedding")
-    summary = C.candidate_summary(sourced(spark, d).join(vectors, "vec_id"))
+    summary = C.candidate_summary(sourced(spark, d).join(vectors, "vec_id"), V.EMBEDDING_DIM)
     return summary.select(
         "split",
         "n_vols",

@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than cores.
+
+    The test tables are single files, which one task would read and compute. A table
+    of many files already has more splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 CASES_SQL = """
 SELECT o_orderkey AS case_id,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'M' ELSE 'B' END AS label
