@@ -30,12 +30,12 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def cell(v):
+        if hasattr(v, "tolist") and not isinstance(v, str):
+            v = v.tolist()
         if isinstance(v, bool):
             return str(v)
         if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
-        if hasattr(v, "tolist") and not isinstance(v, str):
-            v = v.tolist()
         if isinstance(v, (list, tuple)):
             return "[" + ",".join(cell(x) for x in v) + "]"
         if isinstance(v, (int, float)):

@@ -74,11 +74,11 @@ def sorted_ids(df: DataFrame) -> DataFrame:
     return df.select("case_id").orderBy("case_id")
 
 
-def fold_roles(split: DataFrame, k: int = N_FOLDS) -> DataFrame:
-    """(fold, role, case_id) for every fold: a case validates its own fold only."""
+def fold_roles(split: DataFrame, k: int = N_FOLDS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., fold, role, case_id) for every fold: a case validates its own fold only."""
     role = F.when(F.col("_f") == F.col("fold"), "val").otherwise("train")
     return split.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
-        F.col("_f").alias("fold"), role.alias("role"), "case_id"
+        *keys, F.col("_f").alias("fold"), role.alias("role"), "case_id"
     )
 
 

@@ -284,7 +284,9 @@ def run_cost(
             F.sum("gpu_hours").alias("total_gpu_hours"),
             (first * n_folds).alias("extrapolated_gpu_hours"),
         )
-        .withColumn("exceeded", F.col("extrapolated_gpu_hours") > trigger)
+        .withColumn(
+            "exceeded", F.coalesce(F.col("extrapolated_gpu_hours") > trigger, F.lit(False))
+        )
     )
 
 

@@ -1,13 +1,15 @@
 """Split manifests and the other one-document JSON sinks.
 
-A manifest is one small document by definition; writers check its size first and
-refuse larger splits, which belong in ``write_split_table``.
+A document describes one dataset and is small by definition. The builders take
+``keys`` and write one document per dataset, so many datasets make many documents,
+never a larger one. Writers check the largest document first and refuse splits that
+belong in ``write_split_table``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +23,16 @@ from voxlake.sources.files import open_path
 MAX_DOCUMENT_CASES = 1_000_000
 
 
-def _check_document(split: DataFrame, limit: int) -> None:
-    n = split.count()
-    if n > limit:
-        raise BoundError(f"{n} cases do not fit one document (limit {limit}); write a table")
+def _check_documents(rows: DataFrame, keys: Sequence[str], limit: int) -> None:
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > limit:
+        raise BoundError(f"{largest} rows do not fit one document (limit {limit}); write a table")
 
 
-def _write_document(document: DataFrame, path: str) -> None:
-    document.coalesce(1).write.mode("overwrite").text(path)
+def _write_documents(documents: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """Text, one document per line; a single document is a single file."""
+    lines = documents.select("value")
+    (lines if keys else lines.coalesce(1)).write.mode("overwrite").text(path)
 
 
 def _digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,81 +53,85 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
     return listed.mapInPandas(_digest_batches, "path string, sha256 string")
 
 
-def read_manifest_record(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """The one-row manifest; its digest is recomputed and compared."""
-    record = spark.read.option("multiLine", True).schema(MANIFEST).json(path)
+def read_manifest_record(
+    spark: SparkSession, path: str, verify: bool = True, lines: bool = False
+) -> DataFrame:
+    """One row per manifest; digests are recomputed and compared.
+
+    ``lines`` reads many one-line documents, otherwise a file is one document.
+    """
+    record = spark.read.option("multiLine", not lines).schema(MANIFEST).json(path)
     if verify:
         digest = folds_.manifest_digest(F.col("folds"), F.col("seed"), F.col("splitter_version"))
-        found = record.select(
-            F.coalesce("sha256", F.lit("")).alias("stored"), digest.alias("actual")
-        ).first()
-        if found is None or found["stored"] != found["actual"]:
-            raise ChecksumError(f"manifest {path}: stored and recomputed sha256 differ: {found}")
+        same = F.coalesce(F.col("sha256") == digest, F.lit(False))
+        found = record.agg(F.count("*").alias("n"), F.count_if(~same).alias("bad")).first()
+        if found["bad"] or not found["n"]:
+            raise ChecksumError(
+                f"manifest {path}: {found['bad']} of {found['n']} documents differ from their sha256"
+            )
     return record
 
 
 def manifest_split(record: DataFrame) -> DataFrame:
     """(case_id, fold, label) of a manifest row."""
-    members = record.select(F.posexplode("folds").alias("fold", "ids")).select(
-        F.explode("ids").alias("case_id"), "fold"
+    members = record.select("label_of", F.posexplode("folds").alias("fold", "ids")).select(
+        "label_of", "fold", F.explode("ids").alias("case_id")
     )
-    labels = record.select(F.explode("label_of").alias("k", "label")).select(
-        F.col("k").cast("bigint").alias("case_id"), "label"
-    )
-    return members.join(labels, "case_id", "left").select("case_id", "fold", "label")
-
-
-def read_split_manifest(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    return manifest_split(read_manifest_record(spark, path, verify))
+    label = F.try_element_at("label_of", F.col("case_id").cast("string"))
+    return members.select("case_id", "fold", label.alias("label"))
 
 
-def fold_arrays(split: DataFrame) -> DataFrame:
-    """One row: ``folds`` as sorted case lists in fold order."""
-    per_fold = split.groupBy("fold").agg(F.array_sort(F.collect_list("case_id")).alias("ids"))
-    ordered = F.array_sort(F.collect_list(F.struct("fold", "ids")))
-    return per_fold.agg(F.transform(ordered, lambda f: f["ids"]).alias("folds"))
+def read_split_manifest(
+    spark: SparkSession, path: str, verify: bool = True, lines: bool = False
+) -> DataFrame:
+    return manifest_split(read_manifest_record(spark, path, verify, lines))
 
 
-def manifest_document(
-    split: DataFrame, version: str, seed: int = SPLIT_SEED, csv_sha256: str = "unknown"
+def manifest_documents(
+    split: DataFrame,
+    version: str,
+    seed: int = SPLIT_SEED,
+    csv_sha256: str = "unknown",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """One row ``value``: the manifest as key-sorted JSON."""
-    stats = folds_.fold_label_stats(split)
-    ratio = F.struct("benign", "benign_fraction", "malignant")
-    bm = stats.agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(F.when(~F.col("is_total"), F.struct("fold", ratio.alias("r"))))
-            ),
-            lambda e: e["r"],
-        ).alias("bm_ratios_per_fold"),
-        F.max(F.when(F.col("is_total"), ratio)).alias("global_bm"),
-    )
+    """(keys..., value): one manifest per dataset as key-sorted JSON."""
     label = F.struct(F.col("case_id").cast("string").alias("k"), F.col("label").alias("v"))
-    labels = split.agg(F.map_from_entries(F.array_sort(F.collect_list(label))).alias("label_of"))
-    # three one-row frames, brought onto one row
-    parts = fold_arrays(split)
-    for other in (bm, labels):
-        parts = parts.unionByName(other, allowMissingColumns=True)
-    row = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
-    digest = folds_.manifest_digest(
-        F.col("folds"), F.lit(seed).cast("bigint"), F.lit(version)
+    per_fold = split.groupBy(*keys, "fold").agg(
+        F.array_sort(F.collect_list("case_id")).alias("ids"),
+        F.collect_list(label).alias("labels"),
+        F.count_if(F.col("label") == "B").alias("benign"),
+        F.count("*").alias("n"),
     )
-    return row.select(
-        F.to_json(
-            F.struct(
-                "bm_ratios_per_fold",
-                "folds",
-                "global_bm",
-                "label_of",
-                F.lit(csv_sha256).alias("labels_csv_sha256"),
-                F.size("folds").alias("n_folds"),
-                F.lit(seed).alias("seed"),
-                digest.alias("sha256"),
-                F.lit(version).alias("splitter_version"),
-            )
-        ).alias("value")
+    entry = F.struct("fold", "ids", "labels", "benign", "n")
+    dataset = per_fold.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(entry)).alias("f"),
+        F.sum("benign").alias("benign"),
+        F.sum("n").alias("n"),
+    )
+
+    def ratio(benign, n):
+        return F.struct(
+            benign.alias("benign"),
+            (benign / n).alias("benign_fraction"),
+            (n - benign).alias("malignant"),
+        )
+
+    folds = F.transform("f", lambda x: x["ids"])
+    digest = folds_.manifest_digest(F.col("folds"), F.lit(seed).cast("bigint"), F.lit(version))
+    document = F.struct(
+        F.transform("f", lambda x: ratio(x["benign"], x["n"])).alias("bm_ratios_per_fold"),
+        "folds",
+        ratio(F.col("benign"), F.col("n")).alias("global_bm"),
+        F.map_from_entries(
+            F.array_sort(F.flatten(F.transform("f", lambda x: x["labels"])))
+        ).alias("label_of"),
+        F.lit(csv_sha256).alias("labels_csv_sha256"),
+        F.size("folds").alias("n_folds"),
+        F.lit(seed).alias("seed"),
+        digest.alias("sha256"),
+        F.lit(version).alias("splitter_version"),
     )
+    return dataset.withColumn("folds", folds).select(*keys, F.to_json(document).alias("value"))
 
 
 def write_split_manifest(
@@ -132,10 +140,11 @@ def write_split_manifest(
     version: str,
     seed: int = SPLIT_SEED,
     csv_sha256: str = "unknown",
+    keys: Sequence[str] = (),
     max_cases: int = MAX_DOCUMENT_CASES,
 ) -> None:
-    _check_document(split, max_cases)
-    _write_document(manifest_document(split, version, seed, csv_sha256), path)
+    _check_documents(split, keys, max_cases)
+    _write_documents(manifest_documents(split, version, seed, csv_sha256, keys), path, keys)
 
 
 def write_split_table(split: DataFrame, path: str) -> None:
@@ -144,31 +153,39 @@ def write_split_table(split: DataFrame, path: str) -> None:
     folds_.split_digests(split).write.mode("overwrite").parquet(f"{path}/digests")
 
 
-def fold_roles_document(split: DataFrame, k: int = N_FOLDS) -> DataFrame:
-    """One row ``value``: ``[{"train": [...], "val": [...]}, ...]`` in fold order."""
-    roles = folds_.fold_roles(split, k)
+def fold_roles_documents(
+    split: DataFrame, k: int = N_FOLDS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys..., value): ``[{"train": [...], "val": [...]}, ...]`` in fold order."""
+    roles = folds_.fold_roles(split, k, keys)
 
     def ids(role: str):
         return F.array_sort(
             F.collect_list(F.when(F.col("role") == role, F.col("case_id")))
         ).alias(role)
 
-    per_fold = roles.groupBy("fold").agg(ids("train"), ids("val"))
+    per_fold = roles.groupBy(*keys, "fold").agg(ids("train"), ids("val"))
     ordered = F.array_sort(F.collect_list(F.struct("fold", F.struct("train", "val").alias("r"))))
-    return per_fold.agg(F.to_json(F.transform(ordered, lambda f: f["r"])).alias("value"))
+    return per_fold.groupBy(*keys).agg(
+        F.to_json(F.transform(ordered, lambda f: f["r"])).alias("value")
+    )
 
 
 def write_fold_roles(
-    split: DataFrame, path: str, k: int = N_FOLDS, max_cases: int = MAX_DOCUMENT_CASES
+    split: DataFrame,
+    path: str,
+    k: int = N_FOLDS,
+    keys: Sequence[str] = (),
+    max_cases: int = MAX_DOCUMENT_CASES,
 ) -> None:
     """Roles of the split as given; folds are never derived again here."""
-    _check_document(split, max_cases)
-    _write_document(fold_roles_document(split, k), path)
+    _check_documents(split, keys, max_cases)
+    _write_documents(fold_roles_documents(split, k, keys), path, keys)
 
 
-def read_fold_roles(spark: SparkSession, path: str) -> DataFrame:
-    """(fold, role, case_id) of a roles document."""
-    text = spark.read.text(path, wholetext=True)
+def read_fold_roles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(fold, role, case_id) of role documents."""
+    text = spark.read.text(path, wholetext=not lines)
     parsed = F.from_json("value", "array<struct<train: array<bigint>, val: array<bigint>>>")
     entries = text.select(F.posexplode(parsed).alias("fold", "e"))
     roles = F.array(
@@ -194,11 +211,13 @@ def gap_report_document(gap: DataFrame) -> DataFrame:
 
 
 def write_gap_report(gap: DataFrame, path: str) -> None:
-    _write_document(gap_report_document(gap), path)
+    _write_documents(gap_report_document(gap), path)
 
 
-def run_summary_document(runs: DataFrame, commit: str | None = None) -> DataFrame:
-    """One row ``value``: the fold runs (a handful by nature) and their total."""
+def run_summary_documents(
+    runs: DataFrame, commit: str | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys..., value): the fold runs of a campaign and their total."""
     fields = F.struct(
         "fold",
         "checkpoint_path",
@@ -207,16 +226,21 @@ def run_summary_document(runs: DataFrame, commit: str | None = None) -> DataFram
         "final_val_metric",
         "detector_commit",
     )
-    row = runs.agg(
+    rows = runs.groupBy(*keys).agg(
         F.array_sort(F.collect_list(fields)).alias("folds"),
         F.sum("gpu_hours").alias("total_gpu_hours"),
         F.lit(commit).alias("detector_commit"),
     )
-    return row.select(F.to_json(F.struct("folds", "total_gpu_hours", "detector_commit")).alias("value"))
+    document = F.struct("folds", "total_gpu_hours", "detector_commit")
+    return rows.select(*keys, F.to_json(document).alias("value"))
 
 
-def write_run_summary(runs: DataFrame, path: str, commit: str | None = None) -> None:
-    n = runs.count()
-    if n > 10_000:
-        raise BoundError(f"{n} runs do not fit one document")
-    _write_document(run_summary_document(runs, commit), path)
+def write_run_summary(
+    runs: DataFrame,
+    path: str,
+    commit: str | None = None,
+    keys: Sequence[str] = (),
+    max_runs: int = 10_000,
+) -> None:
+    _check_documents(runs, keys, max_runs)
+    _write_documents(run_summary_documents(runs, commit, keys), path, keys)

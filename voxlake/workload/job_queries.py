@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions import boxes as B
 from voxlake.functions import frames
-from voxlake.functions.vectors import l2_norm
-from voxlake.operators import audits as A
 from voxlake.operators import candidates as C
 from voxlake.operators import folds as folds_
 from voxlake.operators import pooling as P
@@ -24,6 +22,7 @@ from voxlake.session import ensure_checkpoint_dir
 from voxlake.sources import manifests as M
 from voxlake.sources import reports as R
 from voxlake.sources import tables as T
+from voxlake.sources.detections import checked_records, explode_records
 from voxlake.workload import views as V
 from voxlake.workload.box_queries import AX, KEYS, r, residual_sql, slots_box_sql, split_of
 from voxlake.workload.registry import Registry
@@ -497,35 +496,31 @@ def s2(spark, d):
     return T.read_truth_boxes(spark, path).select("case_id", *B.flatten_box(F.col("box")))
 
 
+def datasets(spark, d):
+    """The split cut into datasets of 1000 cases, each with documents of its own."""
+    return split_of(spark, d).withColumn("dataset", F.expr("case_id DIV 1000"))
+
+
 @query("s3_s4_split_manifest", "SELECT case_id, fold, label FROM split")
 def s3(spark, d):
     """Written, digested, read back and verified."""
     path = scratch(spark, "manifest")
-    M.write_split_manifest(split_of(spark, d), path, "v1")
-    return M.read_split_manifest(spark, path)
+    M.write_split_manifest(datasets(spark, d), path, "v1", keys=["dataset"])
+    return M.read_split_manifest(spark, path, lines=True)
 
 
-@query(
-    "s5_read_detections",
-    "SELECT case_id, n FROM (SELECT case_id, count(*) AS n FROM slots GROUP BY case_id) x",
-)
+@query("s5_read_detections", "SELECT case_id, count(*) AS n, round(sum(score), 6) AS total FROM slots GROUP BY case_id")
 def s5(spark, d):
-    """Landing records by case, flattened and counted again per case."""
-    from voxlake.sources.detections import checked_records, explode_records
-
-    record = F.struct("slots", "score")
-    landed = (
-        V.slot_detections(spark, d)
-        .groupBy("case_id")
-        .agg(F.collect_list(record).alias("m"))
-        .select(
-            F.format_string("landing/%04d_boxes.json", F.col("case_id")).alias("path"),
-            F.transform("m", lambda x: x["slots"]).alias("pred_boxes"),
-            F.transform("m", lambda x: x["score"]).alias("pred_scores"),
-        )
+    """Detections as landing records, checked and flattened again."""
+    landed = V.slot_detections(spark, d).select(
+        F.format_string("landing/%04d_boxes.json", F.col("case_id")).alias("path"),
+        F.array("slots").alias("pred_boxes"),
+        F.array("score").alias("pred_scores"),
     )
     rows = explode_records(checked_records(landed))
-    return rows.groupBy("case_id").agg(F.count("*").alias("n"))
+    return rows.groupBy("case_id").agg(
+        F.count("*").alias("n"), r(F.sum("score")).alias("total")
+    )
 
 
 @query("s6_candidate_store", f"""SELECT case_id, det_idx, split, array_to_string(src, ',') AS sources, score
@@ -576,8 +571,8 @@ def s11(spark, d):
 @query("s13_write_fold_roles", roles_sql("SELECT * FROM split"))
 def s13(spark, d):
     path = scratch(spark, "roles")
-    M.write_fold_roles(split_of(spark, d), path)
-    return M.read_fold_roles(spark, path)
+    M.write_fold_roles(datasets(spark, d), path, keys=["dataset"])
+    return M.read_fold_roles(spark, path, lines=True)
 
 
 @query(
@@ -595,11 +590,12 @@ def s14(spark, d):
 
 @query(
     "s15_write_run_summary",
-    """SELECT count(*) AS n_runs, round(sum(gpu_hours), 4) AS total FROM runs""",
+    """SELECT count(*) AS n_runs, round(sum(gpu_hours), 4) AS total FROM runs GROUP BY campaign""",
 )
 def s15(spark, d):
     path = scratch(spark, "runs")
     runs = V.runs(spark, d).select(
+        "campaign",
         "fold",
         F.concat(F.lit("run"), F.col("run_id").cast("string")).alias("checkpoint_path"),
         F.col("gpu_hours").alias("wall_clock_hours"),
@@ -607,7 +603,7 @@ def s15(spark, d):
         F.lit(0.5).alias("final_val_metric"),
         F.lit("c0").alias("detector_commit"),
     )
-    M.write_run_summary(runs, path, "c0")
+    M.write_run_summary(runs, path, "c0", keys=["campaign"])
     schema = "folds array<struct<gpu_hours: double>>, total_gpu_hours double"
     return spark.read.schema(schema).json(path).select(
         F.size("folds").cast("bigint").alias("n_runs"), r(F.col("total_gpu_hours"), 4).alias("total")

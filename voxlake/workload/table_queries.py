@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxlake.functions import boxes as B
-from voxlake.functions import frames, text
+from voxlake.functions import text
 from voxlake.functions.vectors import l2_norm
 from voxlake.operators import audits as A
 from voxlake.operators import candidates as C
@@ -761,7 +761,7 @@ def a21(spark, d):
     "a22_run_cost",
     """SELECT campaign, count(*) AS n_runs, round(sum(gpu_hours), 6) AS total_gpu_hours,
        round(max(gpu_hours) FILTER (WHERE fold = 0) * 5, 6) AS extrapolated_gpu_hours,
-       max(gpu_hours) FILTER (WHERE fold = 0) * 5 > 2400 AS exceeded FROM runs GROUP BY campaign""",
+       coalesce(max(gpu_hours) FILTER (WHERE fold = 0) * 5 > 2400, false) AS exceeded FROM runs GROUP BY campaign""",
 )
 def a22(spark, d):
     cost = Q.run_cost(V.runs(spark, d), ["campaign"], trigger=2400.0)

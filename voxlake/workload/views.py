@@ -406,16 +406,16 @@ def slot_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS_SQL = """
-SELECT c_nationkey AS campaign, CAST(c_custkey % 5 AS INT) AS fold, c_custkey AS run_id,
+SELECT c_custkey // 5 AS campaign, CAST(c_custkey % 5 AS INT) AS fold, c_custkey AS run_id,
   abs(c_acctbal) / 20 AS gpu_hours
 FROM customer
 """
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector runs with their GPU hours, grouped into campaigns."""
+    """Detector runs with their GPU hours, five folds per campaign."""
     return table(spark, sf_dir, "customer").selectExpr(
-        "c_nationkey AS campaign",
+        "c_custkey DIV 5 AS campaign",
         "CAST(c_custkey % 5 AS INT) AS fold",
         "c_custkey AS run_id",
         "abs(c_acctbal) / 20 AS gpu_hours",
