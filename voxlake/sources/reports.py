@@ -45,13 +45,11 @@ def parse_score_repr(text: Column) -> Column:
     return F.coalesce(parsed, F.create_map().cast("map<string,double>"))
 
 
-def read_sweep(spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH) -> DataFrame:
-    """(fold, parameter, ordinal, label, state, overwrite, scores) of ``sweep_<parameter>.json``."""
+def sweep_documents(documents: DataFrame) -> DataFrame:
+    """Sweep entries of JSON documents ``(fold, parameter, value)``, in document order."""
     entries = F.from_json("value", f"map<string,{SWEEP_ENTRY.simpleString()}>")
-    rows = _whole_files(spark, glob, fold_pattern).select(
-        "fold",
-        F.regexp_extract(stem(F.col("path")), r"^sweep_(.*)$", 1).alias("parameter"),
-        F.posexplode(F.map_entries(entries)).alias("ordinal", "e"),
+    rows = documents.select(
+        "fold", "parameter", F.posexplode(F.map_entries(entries)).alias("ordinal", "e")
     )
     return rows.select(
         "fold",
@@ -64,6 +62,14 @@ def read_sweep(spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH)
     )
 
 
+def read_sweep(spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH) -> DataFrame:
+    """(fold, parameter, ordinal, label, state, overwrite, scores) of ``sweep_<parameter>.json``."""
+    parameter = F.regexp_extract(stem(F.col("path")), r"^sweep_(.*)$", 1)
+    return sweep_documents(
+        _whole_files(spark, glob, fold_pattern).withColumn("parameter", parameter)
+    )
+
+
 def sweep_metric(sweep: DataFrame, metric: str = "FROC_score_IoU_0.10") -> DataFrame:
     """One metric of each sweep entry, ready for ``sweep_extremes``."""
     return sweep.select(
@@ -75,6 +81,12 @@ def sweep_metric(sweep: DataFrame, metric: str = "FROC_score_IoU_0.10") -> DataF
     )
 
 
+def log_documents(documents: DataFrame) -> DataFrame:
+    """(fold, line_no, line) of log texts ``(fold, value)``."""
+    lines = F.posexplode(F.split("value", "\n")).alias("line_no", "line")
+    return documents.select(*[c for c in documents.columns if c not in ("value", "path")], lines)
+
+
 def read_train_logs(
     spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH
 ) -> DataFrame:
@@ -82,9 +94,7 @@ def read_train_logs(
 
     Folds without a log are found by ``convergence_summary(expected_folds=...)``.
     """
-    return _whole_files(spark, glob, fold_pattern).select(
-        "fold", F.posexplode(F.split("value", "\n")).alias("line_no", "line")
-    )
+    return log_documents(_whole_files(spark, glob, fold_pattern))
 
 
 def loss_curves(losses: DataFrame, folds: list[int]) -> DataFrame:

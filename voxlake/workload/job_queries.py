@@ -554,7 +554,45 @@ def s8(spark, d):
 
 
 @query(
-    "s10_s11_loss_curves",
+    "s9_read_sweep",
+    """SELECT CAST(user_id % 5 AS INT) AS fold, event_type AS parameter, concat('v', event_id) AS label,
+       CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events""",
+)
+def s9(spark, d):
+    """Sweep documents with printed score dictionaries, bare nan and malformed text."""
+    scores = """CASE WHEN event_type = 'error' THEN 'not a dictionary' ELSE
+        concat("{'FROC_score_IoU_0.10': ", CAST(value AS STRING), ", 'other': nan}") END"""
+    entry = F.struct(
+        F.lit("done").alias("state"),
+        F.create_map(F.lit("x"), F.lit("1")).alias("overwrite"),
+        F.expr(scores).alias("scores"),
+    )
+    label = F.concat(F.lit("v"), F.col("event_id").cast("string"))
+    documents = V.table(spark, d, "events").select(
+        F.expr("CAST(user_id % 5 AS INT)").alias("fold"),
+        F.col("event_type").alias("parameter"),
+        F.to_json(F.create_map(label, entry)).alias("value"),
+    )
+    return R.sweep_metric(R.sweep_documents(documents)).drop("ordinal")
+
+
+@query(
+    "s10_read_train_logs",
+    """SELECT fold, line_no AS event_id, 0 AS line_no, line FROM log_lines
+       UNION ALL SELECT fold, line_no, 1, 'heartbeat' FROM log_lines""",
+)
+def s10(spark, d):
+    """Log texts of two lines each."""
+    texts = V.log_lines(spark, d).select(
+        "fold",
+        F.col("line_no").alias("event_id"),
+        F.concat("line", F.lit("\nheartbeat")).alias("value"),
+    )
+    return R.log_documents(texts)
+
+
+@query(
+    "s11_loss_curves",
     f"""SELECT epoch, {', '.join(f"max(loss) FILTER (WHERE fold = {f} AND kind = '{k}') AS fold{f}_{k}_loss" for f in range(5) for k in ('train', 'val'))}
         FROM (SELECT fold, kind, loss, row_number() OVER (PARTITION BY fold, kind ORDER BY line_no) AS epoch
           FROM ({LOSSES_SQL}) l WHERE loss IS NOT NULL) x GROUP BY epoch""",
