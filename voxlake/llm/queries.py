@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import decontaminate, pieces, secrets, token_counts, token_file, urls
+from voxlake.llm import decontaminate, pieces, secrets, simhash, token_counts, token_file, urls
 from voxlake.llm.common import scratch, table, whole
 from voxlake.workload.registry import Registry
 
@@ -29,6 +29,12 @@ URL_RULES = [
 ]
 
 
+@REGISTRY.query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "fingerprint", "component_id")
+
+
 @REGISTRY.query(
     "op2_url_filter",
     r"""
