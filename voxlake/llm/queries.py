@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import decontaminate, pieces, secrets, simhash, token_counts, token_file, urls
+from voxlake.llm import (
+    decontaminate,
+    neighbours,
+    pieces,
+    secrets,
+    simhash,
+    token_counts,
+    token_file,
+    toxicity,
+    urls,
+)
 from voxlake.llm.common import scratch, table, whole
 from voxlake.workload.registry import Registry
 
@@ -103,6 +113,23 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        toxicity.score(F.col("text"), model).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@REGISTRY.query("op6_permutation_index")
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @REGISTRY.query("op7_pieces")
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
