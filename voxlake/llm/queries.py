@@ -10,6 +10,7 @@ from voxlake.llm import (
     decontaminate,
     neighbours,
     pieces,
+    repeats,
     secrets,
     simhash,
     token_counts,
@@ -143,6 +144,19 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.query("op8_repeats")
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.octet_length(whole(F.col("text"))).cast("bigint")
+    return repeats.remove_repeats(docs).select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("repeats.kept")).alias("n_removed"),
+        F.size("repeats.spans").cast("bigint").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 @REGISTRY.query("op9_token_count")
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
