@@ -22,7 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from voxlake.llm.common import short_batches, whole
+from voxlake.llm.common import kept, short_batches, whole
+
+
+# findings of up to this many bytes are broadcast to the rows
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -170,8 +174,12 @@ def find_secrets(
         ).alias("__found"),
     )
     rows = docs.withColumn("__blob", blob_of(F.col("text")))
+    spans = kept(spans, "secret-findings")
+    size = spans.agg((F.count("*") * 100 + F.coalesce(F.sum(F.size("__found")), F.lit(0)) * 60)).first()[0]
+    # few findings go to the texts; many meet them in a shuffle
+    found = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     return (
-        rows.join(spans, "__blob", "left")
+        rows.join(found, "__blob", "left")
         .withColumn(column, F.coalesce("__found", F.array().cast(f"ARRAY<{SPAN}>")))
         .drop("__blob", "__found")
     )

@@ -279,9 +279,9 @@ def one_of_each(
     stay = groups.groupBy("component_id").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("s")
     )
-    stay = stay.select(F.col("s.doc_id").alias("__id"), F.col("s.text_hash").alias("__hash"))
-    rows = docs.withColumn("__text", F.xxhash64(whole(F.col("text"))))
-    chosen = rows.join(
-        stay, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi"
-    )
-    return chosen.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    # a null id takes a number of its own, so that plain equality joins and deals it
+    number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")
+    stay = stay.select("s.*").select(number, F.col("text_hash").alias("__hash"))
+    rows = docs.select("*", number, F.xxhash64(whole(F.col("text"))).alias("__hash"))
+    chosen = rows.join(stay, ["__id", "__hash"], "left_semi")
+    return chosen.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
