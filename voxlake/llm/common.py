@@ -45,6 +45,17 @@ def kept(df: DataFrame, tag: str, rows_per_file: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

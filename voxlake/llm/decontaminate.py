@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from voxlake.llm.common import kept, short_batches, worker_state
+from voxlake.llm.common import kept, short_batches, unused, worker_state
 
 # characters of items in one broadcast shard (its tables take some twenty times as many bytes)
 SHARD_CHARS = 8 << 20
@@ -207,10 +207,11 @@ def decontaminate(
 
     Returns the columns of ``docs``; ``n_chars``, if there, counts what is left.
     """
-    found = scan(docs, benchmark, n, column="__scan")
+    (scanned,) = unused(docs, "scanned")
+    found = scan(docs, benchmark, n, column=scanned)
     found = found.where(
-        (F.size("__scan.hits") == 0)
-        | (hit_words(F.col("__scan")) <= drop_share * F.col("__scan.n_words"))
+        (F.size(F.col(scanned)["hits"]) == 0)
+        | (hit_words(F.col(scanned)) <= drop_share * F.col(scanned)["n_words"])
     )
-    out = found.withColumn("text", without_spans(F.col("text"), F.col("__scan"))).drop("__scan")
+    out = found.withColumn("text", without_spans(F.col("text"), F.col(scanned))).drop(scanned)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import kept, short_batches, whole
+from voxlake.llm.common import kept, short_batches, unused, whole
 from voxlake.llm.suffixes import suffix_array
 
 LENGTH = 400
@@ -394,12 +394,9 @@ def _kept_bytes():
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, column: str = "repeats") -> DataFrame:
     """``docs`` with the struct ``column``: kept (bytes that are left) and spans (removed runs)."""
-    ranges = repeated_ranges(docs, length)
-    ranges = ranges.select(F.col("t1").alias("__1"), F.col("t2").alias("__2"), F.col("ranges").alias("__r"))
+    k1, k2, r = unused(docs, "t1", "t2", "ranges")
+    ranges = repeated_ranges(docs, length).toDF(k1, k2, r)
     text = whole(F.col("text"))
     key = text_key(text)
-    rows = docs.withColumns({"__t1": key[0], "__t2": key[1]})
-    joined = rows.join(ranges, (F.col("__t1") == F.col("__1")) & (F.col("__t2") == F.col("__2")), "left")
-    return joined.withColumn(column, _kept_bytes()(text, F.col("__r"))).drop(
-        "__t1", "__t2", "__1", "__2", "__r"
-    )
+    rows = docs.withColumns({k1: key[0], k2: key[1]}).join(ranges, [k1, k2], "left")
+    return rows.withColumn(column, _kept_bytes()(text, F.col(r))).drop(k1, k2, r)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from voxlake.llm.common import kept, short_batches, whole
+from voxlake.llm.common import kept, short_batches, unused, whole
 
 
 # findings of up to this many bytes are broadcast to the rows
@@ -151,6 +151,7 @@ def find_secrets(
 
     Updates the ledger first. Only blobs with findings enter the join back.
     """
+    blob, found = unused(docs, "blob", "found")
     update_ledger(docs, ledger, rules)
     rank = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)))
     current = [r.key for r in rules]
@@ -158,30 +159,30 @@ def find_secrets(
         read_ledger(docs.sparkSession, ledger)
         .where(F.col("rule").isin(current) & (F.size("spans") > 0))
         .groupBy("blob")
-        .agg(F.flatten(F.collect_list("spans")).alias("found"))
+        .agg(F.flatten(F.collect_list("spans")).alias("all"))
     )
     order = F.transform(
-        "found",
+        "all",
         lambda s: F.struct(
             s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")
         ),
     )
     spans = spans.select(
-        F.col("blob").alias("__blob"),
+        F.col("blob").alias(blob),
         F.transform(
             F.array_sort(order),
             lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
-        ).alias("__found"),
+        ).alias(found),
     )
-    rows = docs.withColumn("__blob", blob_of(F.col("text")))
+    rows = docs.withColumn(blob, blob_of(F.col("text")))
     spans = kept(spans, "secret-findings")
-    size = spans.agg((F.count("*") * 100 + F.coalesce(F.sum(F.size("__found")), F.lit(0)) * 60)).first()[0]
+    size = spans.agg((F.count("*") * 100 + F.coalesce(F.sum(F.size(found)), F.lit(0)) * 60)).first()[0]
     # few findings go to the texts; many meet them in a shuffle
-    found = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     return (
-        rows.join(found, "__blob", "left")
-        .withColumn(column, F.coalesce("__found", F.array().cast(f"ARRAY<{SPAN}>")))
-        .drop("__blob", "__found")
+        rows.join(spans, blob, "left")
+        .withColumn(column, F.coalesce(found, F.array().cast(f"ARRAY<{SPAN}>")))
+        .drop(blob, found)
     )
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import kept, short_batches, whole
+from voxlake.llm.common import kept, short_batches, unused, whole
 from voxlake.llm.components import components
 
 STRIP = 1 << 17
@@ -280,8 +280,9 @@ def one_of_each(
         F.min(F.struct("doc_id", "text_hash")).alias("s")
     )
     # a null id takes a number of its own, so that plain equality joins and deals it
-    number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")
-    stay = stay.select("s.*").select(number, F.col("text_hash").alias("__hash"))
-    rows = docs.select("*", number, F.xxhash64(whole(F.col("text"))).alias("__hash"))
-    chosen = rows.join(stay, ["__id", "__hash"], "left_semi")
-    return chosen.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    keys = unused(docs, "number", "text_hash")
+    number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    stay = stay.select("s.*").select(number.alias(keys[0]), F.col("text_hash").alias(keys[1]))
+    text_hash = F.xxhash64(whole(F.col("text")))
+    rows = docs.withColumns({keys[0]: number, keys[1]: text_hash})
+    return rows.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
