@@ -3,6 +3,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from voxlake.operators import audits as A
+from voxlake.operators import candidates as C
 from voxlake.operators import pooling as P
 from voxlake.operators import voxels as VX
 from voxlake.plans import datasets as D
@@ -79,17 +81,66 @@ def test_missing_map_and_wrong_channels_fail(spark):
         P.pool_centroid(point.withColumn("tile_id", F.lit(0)), maps, (2, 2, 2), ["pid"], dim=2).collect()
 
 
-def test_nearest_tile_both_plans_and_ties(spark):
+def test_nearest_tile_in_blocks_and_ties(spark):
     slots = spark.createDataFrame(
         [(1, i, [float(v) for v in (x, x, x + 4, x + 4, x, x + 4)]) for i, x in enumerate((0, 10, 30, 100))],
         "case_id long, det_idx long, slots array<double>")
     tiles = spark.createDataFrame([(1, t, o, o, o) for t, o in enumerate((0, 0, 20, 40))],
                                   "case_id long, tile_idx int, o_d0 long, o_d1 long, o_d2 long")
     for limit in (100, 2):
-        rows = P.nearest_tile(slots, tiles, (8, 8, 8), max_tiles=limit).collect()
+        rows = P.nearest_tile(slots, tiles, (8, 8, 8), block=limit).collect()
         assert {r["det_idx"]: r["tile_idx"] for r in rows} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_no_box_is_lost_or_merged(spark):
+    schema = "case_id long, fold int, det_idx long, slots array<double>"
+    box = [0.0, 0.0, 4.0, 4.0, 0.0, 4.0]
+    boxes = spark.createDataFrame([(1, 0, 1, box), (1, 0, 1, box), (2, 0, 1, box)], schema)
+    tiles = spark.createDataFrame([(1, t, 8 * t, 0, 0) for t in range(5)],
+                                  "case_id long, tile_idx int, o_d0 long, o_d1 long, o_d2 long")
+    for block in (1, 100):
+        rows = P.nearest_tile(boxes, tiles, (8, 8, 8), block=block).orderBy("case_id").collect()
+        assert [(r["case_id"], r["tile_idx"]) for r in rows] == [(1, 0), (1, 0), (2, None)]
+    voxels = spark.createDataFrame([(1, 0, 0, 0, 0, [1.0])],
+                                   "case_id long, tile_idx int, d0 int, d1 int, d2 int, features array<double>")
+    with pytest.raises(PySparkException, match="without tiles"):
+        P.pool_at_boxes(boxes, tiles, voxels, (8, 8, 8), (1, 1, 1), 1).collect()
+
+
+def test_missing_tile_properties_and_sizes_fail(spark):
+    found = spark.createDataFrame([(1, 0, 0, [0.0] * 6, 0.5), (1, 9, 1, [0.0] * 6, 0.5)],
+                                  "case_id long, tile_idx int, det_idx long, slots array<double>, score double")
+    tiles = spark.createDataFrame([(1, 0, 0, 0, 0)], "case_id long, tile_idx int, o_d0 long, o_d1 long, o_d2 long")
+    with pytest.raises(PySparkException, match="no tile"):
+        C.tile_to_case(found, tiles).collect()
+    props = spark.createDataFrame(
+        [], "case_id long, transpose_backward array<int>, original_spacing array<double>,"
+            " spacing_after_resampling array<double>, crop_low array<double>")
+    with pytest.raises(PySparkException, match="no case properties"):
+        C.restore_frame(found, props).collect()
+    voxels = spark.createDataFrame([(1, 0, 0, 0, 5)], "case_id long, d0 int, d1 int, d2 int, intensity int")
+    sizes = spark.createDataFrame([(2, 1, 1, 1)], "case_id long, n_d0 int, n_d1 int, n_d2 int")
+    with pytest.raises(PySparkException, match="no size"):
+        VX.resample_volume(voxels, sizes, (1, 1, 1), (1, 1, 1), "nearest").collect()
+
+
+def test_unmatched_masks_keep_a_row(spark):
+    voxels = spark.createDataFrame([(1, 0, 0, 0, 1), (2, 0, 0, 0, 0), (4, 1, 1, 1, 1)],
+                                   "case_id long, d0 int, d1 int, d2 int, mask int")
+    truth = spark.createDataFrame([(c, 0.5, 0.5, 0.5, 1.0, 1.0, 1.0) for c in (1, 2, 3)],
+                                  "case_id long, c_x double, c_y double, c_z double, len_x double, len_y double, len_z double")
+    checked = D.sanity_check(voxels, truth)
+    status = {r["case_id"]: r["status"] for r in checked.collect()}
+    assert {k: v for k, v in status.items() if k != 1} == {2: "empty mask", 3: "no mask", 4: "no truth"}
+    assert status[1] in ("ok", "differs")
+    with pytest.raises(PySparkException, match="mask|truth"):
+        A.require_masks(checked).collect()
+    best, summary = D.convention_audit(voxels, truth)
+    rows = {(r["case_id"], r["status"]) for r in best.collect()}
+    assert rows == {(1, "ok"), (2, "empty mask"), (3, "no mask"), (4, "no truth")}
+    assert summary.first()["n_cases"] == 1
+
+
 def test_mode_is_checked():
     with pytest.raises(ValueError):
         P.pool_at_boxes(None, None, None, (1, 1, 1), (1, 1, 1), 1, mode="max")

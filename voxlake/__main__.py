@@ -20,7 +20,6 @@ FAILURES = (
     errors.ChecksumError,
     errors.HeaderError,
     errors.DatasetError,
-    errors.BoundError,
 )
 
 

@@ -274,12 +274,29 @@ def axis_matches(center: Sequence[Column], size: Sequence[Column], mask_box: Col
 
 
 def axis_permutation_search(truth: DataFrame, mask_boxes: DataFrame) -> DataFrame:
-    """All 12 readings per case, as rows."""
-    joined = truth.join(mask_boxes.select("case_id", "box"), "case_id")
+    """All 12 readings per case, as rows with status ``ok``.
+
+    A case that lacks its truth row or its mask box has one row without a reading; its status
+    is ``no truth``, ``no mask`` or ``empty mask``.
+    """
     center, size = frames.csv_columns()
-    matches = F.posexplode(axis_matches(center, size, F.col("box"))).alias("pos", "m")
-    return joined.select("case_id", matches).select(
-        "case_id", (F.col("pos") + 1).alias("rank"), "m.*"
+    known = truth.withColumn("_truth", F.lit(True))
+    masks = mask_boxes.select("case_id", "box", F.lit(True).alias("_mask"))
+    joined = known.join(masks, "case_id", "full")
+    status = _match_status(F.col("_truth"), F.col("_mask"), F.col("box"))
+    readings = F.when(status == "ok", axis_matches(center, size, F.col("box")))
+    matches = F.posexplode_outer(readings).alias("pos", "m")
+    return joined.select("case_id", status.alias("status"), matches).select(
+        "case_id", "status", F.coalesce(F.col("pos") + 1, F.lit(1)).alias("rank"), "m.*"
+    )
+
+
+def _match_status(truth: Column, mask: Column, box: Column) -> Column:
+    return (
+        F.when(truth.isNull(), "no truth")
+        .when(mask.isNull(), "no mask")
+        .when(box.isNull(), "empty mask")
+        .otherwise("ok")
     )
 
 
@@ -290,7 +307,7 @@ def best_axis_matches(truth: DataFrame, mask_boxes: DataFrame, n: int = 3) -> Da
 
 def axis_mapping_summary(best: DataFrame) -> DataFrame:
     """One row over all cases: readings in use, consistency and residuals."""
-    return best.where("rank = 1").agg(
+    return best.where("rank = 1 AND status = 'ok'").agg(
         F.count("*").alias("n_cases"),
         F.array_sort(F.collect_set("perm")).alias("perms"),
         (F.count_distinct("perm") == 1).alias("perm_consistent"),
@@ -314,17 +331,35 @@ def case_spacing(
 def mask_vs_truth(
     mask_boxes: DataFrame, truth_boxes: DataFrame, gate: float = TRUTH_IOU_GATE
 ) -> DataFrame:
-    """Per case: IoU of mask box and truth box, exact equality, and the gate."""
-    other = truth_boxes.select("case_id", F.col("box").alias("truth_box"))
+    """Per case: IoU of mask box and truth box, exact equality, the gate and a status.
+
+    Every case of either side has a row. Where a box is missing, ``ok`` is false and the status
+    says which: ``no truth``, ``no mask`` or ``empty mask``; else it is ``ok`` or ``differs``.
+    """
+    other = truth_boxes.select(
+        "case_id", F.col("box").alias("truth_box"), F.lit(True).alias("_truth")
+    )
+    masks = mask_boxes.select("case_id", F.col("box").alias("mask_box"), F.lit(True).alias("_mask"))
+    status = _match_status(F.col("_truth"), F.col("_mask"), F.col("mask_box"))
+    same = F.col("equal") & (F.col("iou") >= gate)
     return (
-        mask_boxes.select("case_id", F.col("box").alias("mask_box"))
-        .join(other, "case_id")
+        masks.join(other, "case_id", "full")
         .withColumn("iou", B.iou_3d(F.col("mask_box"), F.col("truth_box")))
         .withColumn("equal", F.col("mask_box") == F.col("truth_box"))
-        .withColumn("ok", F.col("equal") & (F.col("iou") >= gate))
+        .withColumn("ok", F.coalesce(same, F.lit(False)))
+        .withColumn("status", F.when((status == "ok") & ~F.col("ok"), "differs").otherwise(status))
+        .drop("_truth", "_mask")
     )
 
 
+def require_masks(checked: DataFrame) -> DataFrame:
+    """Rows of a mask check; the job fails on a case without mask, foreground or truth row."""
+    missing = F.col("status").isin("no truth", "no mask", "empty mask")
+    message = F.concat(F.col("status"), F.lit(": case "), F.col("case_id").cast("string"))
+    failed = F.raise_error(message).cast("string")
+    return checked.withColumn("status", F.when(missing, failed).otherwise(F.col("status")))
+
+
 def roundtrip_audit(
     boxes: DataFrame, target: Sequence[float], original: Sequence[float] | Column
 ) -> DataFrame:

@@ -74,6 +74,17 @@ def detections_to_candidates(
     return kept, rejects
 
 
+def _with_match(
+    rows: DataFrame, others: DataFrame, on: list[str], known: str, what: str
+) -> DataFrame:
+    """Left join in which a row without a match fails the job; ``known`` is never NULL."""
+    joined = rows.join(others, on, "left")
+    message = F.concat(F.lit(f"a detection has no {what}: case "), F.col("case_id").cast("string"))
+    kind = others.schema[known].dataType
+    checked = F.when(F.col(known).isNull(), F.raise_error(message).cast(kind))
+    return joined.withColumn(known, checked.otherwise(F.col(known)))
+
+
 def tile_to_case(
     tile_detections: DataFrame, tiles: DataFrame,
     slot_map: dict[str, tuple[int, int]] = frames.TILE_SLOTS,
@@ -81,9 +92,9 @@ def tile_to_case(
     """Tile-local slot boxes in case coordinates.
 
     Unlike restored boxes, degenerate ones are widened and kept. ``slot_map`` says
-    which axis an origin entry belongs to.
+    which axis an origin entry belongs to. A detection whose tile is unknown fails the job.
     """
-    joined = tile_detections.join(tiles, ["case_id", "tile_idx"])
+    joined = _with_match(tile_detections, tiles, ["case_id", "tile_idx"], "o_d0", "tile")
     shift = F.array("o_d0", "o_d1", "o_d2").cast("array<double>")
     return joined.withColumn(
         "box", frames.slots_to_box(F.col("slots"), slot_map, shift)
@@ -96,10 +107,13 @@ def pack_detection_columns(candidates: DataFrame) -> DataFrame:
 
 
 def restore_frame(detections: DataFrame, case_props: DataFrame) -> DataFrame:
-    """Slot boxes moved to the original grid with the per-case properties."""
+    """Slot boxes moved to the original grid with the per-case properties.
+
+    A detection of a case without properties fails the job.
+    """
     columns = detections.columns
     return (
-        detections.join(case_props, "case_id")
+        _with_match(detections, case_props, ["case_id"], "transpose_backward", "case properties")
         .withColumn(
             "slots",
             frames.restore_slots(
@@ -336,11 +350,3 @@ def embedding_audit(detections: DataFrame, dim: int) -> DataFrame:
         & F.col("box_ok")
         & F.col("scores_ok"),
     )
-
-
-def mean_embedding(df: DataFrame, keys: tuple[str, ...], dim: int) -> DataFrame:
-    """Mean embedding per group."""
-    sums = df.groupBy(*keys).agg(
-        sum_vector(F.col("embedding"), dim).alias("_s"), F.count("*").alias("n")
-    )
-    return sums.select(*keys, "n", divide_vector(F.col("_s"), F.col("n")).alias("embedding"))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.errors import BoundError
 from voxlake.functions.text import (
     TRAIN_LABEL,
     TRAIN_MARK,
@@ -187,18 +186,12 @@ def convergence_summary(
     )
 
 
-def loss_arrays(
-    losses: DataFrame, keys: Sequence[str] = ("fold",), max_epochs: int = 100_000
-) -> DataFrame:
-    """Ordered train and validation losses per fold as arrays.
+def loss_arrays(losses: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
+    """Ordered train and validation losses per fold as arrays, one row per fold.
 
-    An array is one row; a fold beyond ``max_epochs`` values raises and is to be read
-    in long form.
+    ``epoch_ordinal`` has the same values in long form.
     """
     values = losses.where(F.col("loss").isNotNull())
-    longest = values.groupBy(*keys, "kind").count().agg(F.max("count")).first()[0] or 0
-    if longest > max_epochs:
-        raise BoundError(f"{longest} losses in one fold; use epoch_ordinal")
 
     def ordered(kind: str) -> Column:
         row = F.when(F.col("kind") == kind, F.struct("line_no", "loss"))
@@ -245,19 +238,20 @@ def convergence_status(
     keys: Sequence[str] = ("fold",),
     epochs: int = EXPECTED_EPOCHS,
 ) -> DataFrame:
-    """Summary rows with a monotone flag and COMPLETE / INCOMPLETE / ERROR status."""
+    """Summary rows with a monotone flag, the expected epochs and a status code.
+
+    The code is ``COMPLETE``, ``INCOMPLETE`` or ``ERROR``; ``error`` holds the whole message.
+    """
     status = (
-        F.when(F.col("error").isNotNull(), F.concat(F.lit("ERROR: "), F.substring("error", 1, 35)))
-        .when(
-            ~F.col("training_complete"),
-            F.format_string(f"INCOMPLETE (%d/{epochs})", F.col("epochs_completed")),
-        )
+        F.when(F.col("error").isNotNull(), "ERROR")
+        .when(~F.col("training_complete"), "INCOMPLETE")
         .otherwise("COMPLETE")
     )
     flags = monotone.select(*keys, "monotone")
     return (
         summary.join(flags, list(keys), "left")
         .withColumn("monotone", F.coalesce("monotone", F.lit(True)))
+        .withColumn("epochs_expected", F.lit(epochs))
         .withColumn("status", status)
     )
 

@@ -14,10 +14,13 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
 
 
 def split_by_size(
-    df: DataFrame, keys: Sequence[str], limit: int
+    df: DataFrame, keys: Sequence[str], limit: int, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of bounded groups, rows of hot groups or None when there are none)."""
-    hot = hot_groups(df, keys, limit)
+    """(rows of bounded groups, rows of hot groups or None when there are none).
+
+    ``counted`` has the keys of ``df``, a row each, where these are cheaper to get.
+    """
+    hot = hot_groups(df if counted is None else counted, keys, limit)
     if hot.isEmpty():
         return df, None
     on = list(keys)

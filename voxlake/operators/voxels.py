@@ -148,18 +148,24 @@ def slice_percentiles(
     )
 
 
-def tight_boxes(voxels: DataFrame) -> DataFrame:
-    """Tight box per case with foreground; the mask filter reaches the scan."""
-    return (
-        voxels.where(F.col("mask") > 0)
-        .groupBy("case_id")
-        .agg(
-            F.struct(
-                *[F.min(a).cast("bigint").alias(f"min_{a}") for a in AXES],
-                *[F.max(a).cast("bigint").alias(f"max_{a}") for a in AXES],
-            ).alias("box"),
-            F.count("*").alias("foreground"),
-        )
+def tight_boxes(voxels: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Tight box per case with foreground; the mask filter reaches the scan.
+
+    With ``keep_empty`` a case without foreground has a NULL box; all voxels are read then.
+    """
+    inside = F.col("mask") > 0
+
+    def end(fn, axis: str):
+        return fn(F.when(inside, F.col(axis))).cast("bigint")
+
+    box = F.struct(
+        *[end(F.min, a).alias(f"min_{a}") for a in AXES],
+        *[end(F.max, a).alias(f"max_{a}") for a in AXES],
+    )
+    count = F.count_if(inside)
+    rows = voxels if keep_empty else voxels.where(inside)
+    return rows.groupBy("case_id").agg(
+        F.when(count > 0, box).alias("box"), count.alias("foreground")
     )
 
 
@@ -217,14 +223,19 @@ def resample_volume(
     reads are dropped before the shuffle, and partial sums combine on the map side.
     ``nearest`` has one source per output and does not shuffle at all.
 
-    ``sizes(case_id, n_d0, n_d1, n_d2)`` holds one row per case.
+    ``sizes(case_id, n_d0, n_d1, n_d2)`` holds one row per case; a volume without one fails
+    the job.
     """
     if mode not in ("linear", "nearest"):
         raise ValueError(f"mode must be 'linear' or 'nearest', got {mode!r}")
     counts = [f"n_{a}" for a in AXES]
     out = voxels.select("case_id", *AXES, value).join(
-        sizes.select("case_id", *counts), "case_id"
+        sizes.select("case_id", *counts), "case_id", "left"
     )
+    message = F.concat(F.lit("a volume has no size: case "), F.col("case_id").cast("string"))
+    for name in counts:
+        unknown = F.raise_error(message).cast(sizes.schema[name].dataType)
+        out = out.withColumn(name, F.coalesce(name, unknown))
     # axis by axis, so that voxels no output reads are dropped as early as possible
     for i, axis in enumerate(AXES):
         index, size = F.col(axis).cast("bigint"), F.col(f"n_{axis}").cast("bigint")

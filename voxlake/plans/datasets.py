@@ -155,7 +155,7 @@ def convention_audit(
 ) -> tuple[DataFrame, DataFrame]:
     """(three best readings per case, overall summary) of the truth rows' convention."""
     chosen = truth if n is None else A.first_cases(truth, n)
-    best = A.best_axis_matches(chosen, tight_boxes(voxels))
+    best = A.best_axis_matches(chosen, tight_boxes(voxels, keep_empty=True))
     if labels is not None:
         best = best.join(labels.select("case_id", "label"), "case_id", "left")
     return best, A.axis_mapping_summary(best)
@@ -170,7 +170,7 @@ def roundtrip_report(
 
 
 def sanity_check(voxels: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per case: does the mask's tight box equal the truth box."""
+    """Per case of either table: does the mask's tight box equal the truth box (``status``)."""
     center, size = csv_columns()
     boxes = truth.select("case_id", csv_to_box(center, size).alias("box"))
-    return A.mask_vs_truth(tight_boxes(voxels), boxes)
+    return A.mask_vs_truth(tight_boxes(voxels, keep_empty=True), boxes)

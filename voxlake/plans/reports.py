@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators import candidates as C
 from voxlake.operators import quality as Q
+from voxlake.errors import SourceError
 from voxlake.schemas import N_FOLDS
 from voxlake.sources import reports as R
 
@@ -20,9 +21,13 @@ def quality_report(
     """Metric table, sweep extremes and convergence of the runs below ``root``.
 
     Layout: ``fold<k>/val_results/results_boxes.json``, ``fold<k>/sweep/sweep_*.json``
-    and ``fold<k>/train.log``.
+    and ``fold<k>/train.log``. A fold without metrics is an error; one without a log has a
+    status that says so.
     """
     metrics = R.read_fold_metrics(spark, f"{root}/fold*/val_results/results_boxes.json")
+    missing = sorted(set(range(n_folds)) - {r[0] for r in metrics.select("fold").distinct().collect()})
+    if missing:
+        raise SourceError(f"no metric file for folds {missing} below {root}")
     sweep = R.sweep_metric(R.read_sweep(spark, f"{root}/fold*/sweep/sweep_*.json"))
     lines = R.read_train_logs(spark, f"{root}/fold*/train.log")
     losses = Q.loss_lines(lines)

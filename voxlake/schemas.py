@@ -26,13 +26,6 @@ FROC_METRICS = tuple(f"FROC_score_IoU_0.{i}0" for i in range(1, 10))
 AP_METRICS = tuple(f"AP_IoU_0.{i}0_MaxDet_100" for i in range(1, 6))
 MAP_METRIC = "mAP_IoU_0.10_0.50_0.05_MaxDet_100"
 METRICS = FROC_METRICS + AP_METRICS + (MAP_METRIC,)
-SWEEP_PARAMETERS = (
-    "ensemble_iou",
-    "model_iou",
-    "model_nms_fn",
-    "model_score_thresh",
-    "remove_small_boxes",
-)
 DATASET_KEYS = ("task", "dim", "modalities", "labels", "test_labels")
 GPU_HOUR_TRIGGER = 1300.0
 
@@ -53,10 +46,6 @@ CANDIDATE = T.StructType(
     ]
 )
 
-LABEL_ROW = T.StructType(
-    [T.StructField("case_id", T.LongType()), T.StructField("label", T.StringType())]
-)
-
 TRUTH_ROW = T.StructType(
     [T.StructField("id", T.LongType())]
     + [T.StructField(n, T.DoubleType()) for n in ("c_x", "c_y", "c_z", "len_x", "len_y", "len_z")]

@@ -30,6 +30,7 @@ def checked_records(records: DataFrame) -> DataFrame:
             ~F.forall("pred_boxes", lambda b: F.coalesce(F.size(b) == 6, F.lit(False))),
             "boxes are not N x 6",
         )
+        .when(F.size("pred_boxes") != F.size("pred_scores"), "boxes and scores differ in number")
     )
     return records.withColumn("case_id", detection_case_id(F.col("path"))).withColumn(
         "reason", reason

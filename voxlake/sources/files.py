@@ -15,7 +15,7 @@ from voxlake.schemas import HEADER
 
 # Header type names that mean an unsigned byte.
 BYTE_TYPES = ("uchar", "unsigned char", "uint8", "uint8_t")
-HEADER_BYTES = 65_536
+READ_BYTES = 65_536
 
 
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
@@ -68,8 +68,15 @@ def open_path(uri: str):
 
 
 def _leading_text(uri: str) -> str:
+    """The file up to its first empty line, however long that part is."""
+    held = bytearray()
     with open_path(uri) as stream:
-        return stream.read(HEADER_BYTES).split(b"\n\n", 1)[0].decode("latin-1")
+        while chunk := stream.read(READ_BYTES):
+            seen = max(0, len(held) - 3)
+            held += chunk
+            if end := re.compile(rb"\r?\n\r?\n").search(held, seen):
+                return held[: end.start()].decode("latin-1")
+    return held.decode("latin-1")
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,5 +86,5 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_headers(files: DataFrame) -> DataFrame:
-    """Header fields of each file; only the leading bytes of a file are read."""
+    """Header fields of each file; a file is read up to the end of its header."""
     return files.select("path").mapInPandas(_read_batches, HEADER)

@@ -15,19 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.errors import BoundError, ChecksumError
+from voxlake.errors import ChecksumError
 from voxlake.operators import folds as folds_
 from voxlake.schemas import MANIFEST, N_FOLDS, SPLIT_SEED
 from voxlake.sources.files import open_path
 
-MAX_DOCUMENT_CASES = 1_000_000
-
-
-def _check_documents(rows: DataFrame, keys: Sequence[str], limit: int) -> None:
-    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > limit:
-        raise BoundError(f"{largest} rows do not fit one document (limit {limit}); write a table")
-
 
 def _write_documents(documents: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
     """Text, one document per line; a single document is a single file."""
@@ -141,14 +133,12 @@ def write_split_manifest(
     seed: int = SPLIT_SEED,
     csv_sha256: str = "unknown",
     keys: Sequence[str] = (),
-    max_cases: int = MAX_DOCUMENT_CASES,
 ) -> None:
-    _check_documents(split, keys, max_cases)
     _write_documents(manifest_documents(split, version, seed, csv_sha256, keys), path, keys)
 
 
 def write_split_table(split: DataFrame, path: str) -> None:
-    """Unbounded form: the split as Parquet plus its block digests."""
+    """The split as Parquet plus its block digests; a document holds a dataset in one row."""
     split.write.mode("overwrite").partitionBy("fold").parquet(f"{path}/split")
     folds_.split_digests(split).write.mode("overwrite").parquet(f"{path}/digests")
 
@@ -176,13 +166,17 @@ def write_fold_roles(
     path: str,
     k: int = N_FOLDS,
     keys: Sequence[str] = (),
-    max_cases: int = MAX_DOCUMENT_CASES,
 ) -> None:
     """Roles of the split as given; folds are never derived again here."""
-    _check_documents(split, keys, max_cases)
     _write_documents(fold_roles_documents(split, k, keys), path, keys)
 
 
+def write_roles_table(split: DataFrame, path: str, k: int = N_FOLDS) -> None:
+    """Fold roles in long form, for splits that are too large for one document."""
+    roles = folds_.fold_roles(split, k)
+    roles.write.mode("overwrite").partitionBy("fold", "role").parquet(path)
+
+
 def read_fold_roles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(fold, role, case_id) of role documents."""
     text = spark.read.text(path, wholetext=not lines)
@@ -240,7 +234,5 @@ def write_run_summary(
     path: str,
     commit: str | None = None,
     keys: Sequence[str] = (),
-    max_runs: int = 10_000,
 ) -> None:
-    _check_documents(runs, keys, max_runs)
     _write_documents(run_summary_documents(runs, commit, keys), path, keys)

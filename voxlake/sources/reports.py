@@ -10,7 +10,6 @@ from voxlake.operators.quality import epoch_ordinal, parse_metrics
 from voxlake.schemas import SWEEP_ENTRY
 
 FOLD_IN_PATH = r"fold(\d+)"
-MAX_CURVE_ROWS = 1_000_000
 
 
 def _whole_files(spark: SparkSession, glob: str, fold_pattern: str) -> DataFrame:
@@ -110,17 +109,14 @@ def loss_curves(losses: DataFrame, folds: list[int]) -> DataFrame:
     return numbered.groupBy("epoch").agg(*columns)
 
 
-def write_loss_curves(losses: DataFrame, path: str, max_rows: int = MAX_CURVE_ROWS) -> bool:
+def write_loss_curves(losses: DataFrame, path: str) -> bool:
     """CSV of the loss curves, one row per epoch; False, and no output, without data.
 
-    Curves up to ``max_rows`` epochs are one file; longer ones stay in ordered parts.
+    The parts are in the order of epochs; as many are written as the sort makes.
     """
     folds = [r[0] for r in losses.select("fold").distinct().orderBy("fold").collect()]
-    n = losses.where(F.col("loss").isNotNull()).count()
-    if n == 0:
+    if losses.where(F.col("loss").isNotNull()).isEmpty():
         return False
     curves = loss_curves(losses, folds).orderBy("epoch")
-    if n <= max_rows:
-        curves = curves.coalesce(1)
     curves.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     return True

@@ -92,7 +92,12 @@ ENSEMBLE_SQL = (
 def x2(spark, d):
     """Flagship: detections of five folds to ensemble candidates with mean embeddings."""
     candidates = E.ensemble_candidates(
-        V.proposals(spark, d, embeddings=True), "val", 0.5, V.EMBEDDING_DIM, max_source=4
+        V.proposals(spark, d, embeddings=True),
+        "val",
+        0.5,
+        V.EMBEDDING_DIM,
+        max_source=4,
+        counted=V.proposals(spark, d).select("case_id"),
     )
     e = F.col("embedding")
     return candidates.select(
@@ -360,12 +365,12 @@ def x11_problems(spark, d):
 
 @query(
     "x12_convention_audit",
-    f"SELECT case_id, label, rank, perm, exclusive, residual FROM ({AXIS_SQL}) s JOIN cases USING (case_id) WHERE rank <= 3",
+    f"SELECT case_id, label, status, rank, perm, exclusive, residual FROM ({AXIS_SQL}) s LEFT JOIN cases USING (case_id) WHERE rank <= 3",
 )
 def x12(spark, d):
     best, _ = D.convention_audit(V.voxels(spark, d), V.truth(spark, d), V.cases(spark, d))
-    return best.select(
-        "case_id", "label", F.col("rank").cast("bigint").alias("rank"), "perm", "exclusive", "residual"
+    return best.fillna({"exclusive": False}).select(
+        "case_id", "label", "status", F.col("rank").cast("bigint").alias("rank"), "perm", "exclusive", "residual"
     )
 
 
@@ -390,7 +395,7 @@ def x13(spark, d):
 @query(
     "x14_quality_report",
     f"""SELECT 'convergence' AS part, CAST(fold AS VARCHAR) AS item, CASE WHEN epochs_completed <> 60
-          THEN concat('INCOMPLETE (', epochs_completed, '/60)') ELSE 'COMPLETE' END AS text, round(final_loss, 6) AS value
+          THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS text, round(final_loss, 6) AS value
         FROM ({CONVERGENCE_SQL}) c JOIN ({MONOTONE_SQL}) m USING (fold)
         UNION ALL SELECT 'sweep', concat(fold, '/', parameter), arg_min(label, (-value, ordinal)), max(value)
         FROM sweep WHERE value IS NOT NULL GROUP BY fold, parameter
@@ -468,7 +473,7 @@ def x15(spark, d):
 @query("x16_sanity_check", MASK_TRUTH_SQL)
 def x16(spark, d):
     checked = D.sanity_check(V.voxels(spark, d), V.truth(spark, d))
-    return checked.select("case_id", r(F.col("iou"), 9).alias("iou"), "equal", "ok")
+    return checked.select("case_id", r(F.col("iou"), 9).alias("iou"), F.coalesce("equal", F.lit(False)).alias("equal"), "ok", "status")
 
 
 @query(

@@ -219,7 +219,7 @@ _READINGS = ", ".join(
     for o in (0, 1)
 )
 AXIS_SQL = f"""
-SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY greatest(lo, hi), ordinal) AS BIGINT) AS rank,
+SELECT case_id, 'ok' AS status, CAST(row_number() OVER (PARTITION BY case_id ORDER BY greatest(lo, hi), ordinal) AS BIGINT) AS rank,
   greatest(lo, hi) AS residual, ordinal, perm, o = 1 AS exclusive, lo AS min_residual, hi AS max_residual FROM (
   SELECT case_id, ordinal, perm, o,
     greatest(abs(lows[i] - min_d0), abs(lows[j] - min_d1), abs(lows[k] - min_d2)) AS lo,
@@ -228,12 +228,18 @@ SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY greatest(l
       [c_x + len_x / 2, c_y + len_y / 2, c_z + len_z / 2] AS highs, b.* EXCLUDE (case_id)
     FROM truth t JOIN ({TIGHT_SQL}) b USING (case_id)) tb
   CROSS JOIN (VALUES {_READINGS}) v(ordinal, perm, i, j, k, o)) x
+UNION ALL SELECT case_id, CASE WHEN t.case_id IS NULL THEN 'no truth' WHEN v.case_id IS NULL THEN 'no mask' ELSE 'empty mask' END, 1,
+  NULL, -1, NULL, false, NULL, NULL
+FROM truth t FULL JOIN (SELECT case_id, max(mask) AS mask FROM voxels GROUP BY 1) v USING (case_id)
+WHERE t.case_id IS NULL OR v.case_id IS NULL OR v.mask = 0
 """
 
 
 def searched(spark, d):
-    rows = A.axis_permutation_search(V.truth(spark, d), VX.tight_boxes(V.voxels(spark, d)))
-    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+    rows = A.axis_permutation_search(V.truth(spark, d), VX.tight_boxes(V.voxels(spark, d), keep_empty=True))
+    rows = rows.withColumn("rank", F.col("rank").cast("bigint"))
+    # cases without a reading have no ordinal and no bound
+    return rows.fillna({"ordinal": -1, "exclusive": False})
 
 
 @query("j11_axis_permutation_search", AXIS_SQL)
@@ -328,17 +334,22 @@ def j15(spark, d):
 
 
 MASK_TRUTH_SQL = f"""
-SELECT case_id, round(iou, 9) AS iou, eq AS equal, eq AND iou >= 0.999 AS ok FROM (
+SELECT case_id, round(iou, 9) AS iou, eq AS equal, eq AND iou >= 0.999 AS ok,
+  CASE WHEN eq AND iou >= 0.999 THEN 'ok' ELSE 'differs' END AS status FROM (
   SELECT case_id, {iou_sql('a_', 'b_')} AS iou, {' AND '.join(f'a_{n} = b_{n}' for n in BOX_NAMES)} AS eq FROM (
     SELECT m.case_id, {renamed('a_', 'm')}, {renamed('b_', 't')} FROM ({TIGHT_SQL}) m
     JOIN truth_boxes t ON m.case_id = t.case_id) x) y
+UNION ALL SELECT case_id, NULL, false, false,
+  CASE WHEN t.case_id IS NULL THEN 'no truth' WHEN v.case_id IS NULL THEN 'no mask' ELSE 'empty mask' END
+FROM truth_boxes t FULL JOIN (SELECT case_id, max(mask) AS mask FROM voxels GROUP BY 1) v USING (case_id)
+WHERE t.case_id IS NULL OR v.case_id IS NULL OR v.mask = 0
 """
 
 
 @query("j16_mask_vs_truth", MASK_TRUTH_SQL)
 def j16(spark, d):
-    checked = A.mask_vs_truth(VX.tight_boxes(V.voxels(spark, d)), truth_boxes(spark, d))
-    return checked.select("case_id", r(F.col("iou"), 9).alias("iou"), "equal", "ok")
+    checked = A.mask_vs_truth(VX.tight_boxes(V.voxels(spark, d), keep_empty=True), truth_boxes(spark, d))
+    return checked.select("case_id", r(F.col("iou"), 9).alias("iou"), F.coalesce("equal", F.lit(False)).alias("equal"), "ok", "status")
 
 
 # --- aggregations -----------------------------------------------------------
@@ -413,7 +424,13 @@ def cluster_ctes(source: str, threshold: float = 0.5) -> str:
          GROUP BY case_id, owner) z""",
 )
 def a3(spark, d):
-    clusters = cluster_boxes(V.proposals(spark, d, True), 0.5, V.EMBEDDING_DIM, max_source=4)
+    clusters = cluster_boxes(
+        V.proposals(spark, d, True),
+        0.5,
+        V.EMBEDDING_DIM,
+        max_source=4,
+        counted=V.proposals(spark, d).select("case_id"),
+    )
     e = F.col("embedding")
     return clusters.select(
         "case_id",
@@ -585,7 +602,7 @@ def a9(spark, d):
 MAPPING_SQL = f"""
 SELECT count(*) AS n_cases, string_agg(DISTINCT perm, ',' ORDER BY perm) AS perms, count(DISTINCT perm) = 1 AS perm_consistent,
   count(DISTINCT exclusive) = 1 AS exclusivity_consistent, max(residual) AS max_residual, round(avg(residual), 6) AS mean_residual
-FROM ({AXIS_SQL}) s WHERE rank = 1
+FROM ({AXIS_SQL}) s WHERE rank = 1 AND status = 'ok'
 """
 
 
@@ -801,7 +818,7 @@ SELECT fold, n, a AS first_mean, b AS last_mean, n < 10 OR b < a AS monotone FRO
 @query(
     "a24_convergence_status",
     f"""SELECT fold, epochs_completed, monotone, CASE WHEN epochs_completed <> 60
-        THEN concat('INCOMPLETE (', epochs_completed, '/60)') ELSE 'COMPLETE' END AS status
+        THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status
         FROM ({CONVERGENCE_SQL}) c JOIN ({MONOTONE_SQL}) m USING (fold)""",
 )
 def a24(spark, d):
@@ -865,10 +882,11 @@ def w3(spark, d):
     return C.top_boxes(with_nan, 5).select(*KEYS, "rank")
 
 
-@query("w4_best_axis_matches", f"SELECT case_id, rank, perm, exclusive, residual FROM ({AXIS_SQL}) s WHERE rank <= 3")
+@query("w4_best_axis_matches", f"SELECT case_id, status, rank, perm, exclusive, residual FROM ({AXIS_SQL}) s WHERE rank <= 3")
 def w4(spark, d):
-    best = A.best_axis_matches(V.truth(spark, d), VX.tight_boxes(V.voxels(spark, d)), 3)
-    return best.select("case_id", F.col("rank").cast("bigint").alias("rank"), "perm", "exclusive", "residual")
+    best = A.best_axis_matches(V.truth(spark, d), VX.tight_boxes(V.voxels(spark, d), keep_empty=True), 3)
+    best = best.fillna({"exclusive": False})
+    return best.select("case_id", "status", F.col("rank").cast("bigint").alias("rank"), "perm", "exclusive", "residual")
 
 
 @query(

@@ -53,10 +53,11 @@ _PROPOSAL_COLUMNS = """
   l_partkey % 24 + 23 + CAST(l_quantity AS BIGINT) % 12 AS max_d0,
   l_suppkey % 24 + 23 + (CAST(l_quantity AS BIGINT) * 5) % 12 AS max_d1,
   (l_partkey + l_suppkey) % 24 + 23 + (CAST(l_quantity AS BIGINT) * 7) % 12 AS max_d2,
-  l_partkey % 500 AS vec_id
+  l_partkey % (SELECT max(vec_id) + 1 FROM {embeddings}) AS vec_id
 """
 
-PROPOSALS_SQL = f"SELECT {_PROPOSAL_COLUMNS} FROM lineitem"
+_PROPOSALS = f"SELECT {_PROPOSAL_COLUMNS} FROM {{lineitem}}"
+PROPOSALS_SQL = _PROPOSALS.format(lineitem="lineitem", embeddings="embeddings")
 
 
 def _split_columns(text: str) -> list[str]:
@@ -72,7 +73,12 @@ def _split_columns(text: str) -> list[str]:
 
 
 def proposals_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_split_columns(_PROPOSAL_COLUMNS))
+    """Lineitems as detections; between them they name every embedding."""
+    return spark.sql(
+        _PROPOSALS,
+        lineitem=table(spark, sf_dir, "lineitem"),
+        embeddings=table(spark, sf_dir, "embeddings"),
+    )
 
 
 def proposals(spark: SparkSession, sf_dir: str, embeddings: bool = False) -> DataFrame:
