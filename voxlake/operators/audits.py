@@ -128,9 +128,11 @@ def with_case_ids(files: DataFrame) -> DataFrame:
     return files.withColumn("case_id", number)
 
 
-def pair_volume_mask(numbered: DataFrame) -> DataFrame:
+def pair_volume_mask(numbered: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     """(split, case_id, data, mask, status): paired, missing mask, or extra mask.
 
+    With ``shapes(path, sizes)`` pairs of different sizes have the status ``shape differs``.
+
     One aggregate over the catalog replaces a full outer join of its two halves. Of
     several files of a kind the first path stands; duplicates are a report of their
     own.
@@ -144,7 +146,18 @@ def pair_volume_mask(numbered: DataFrame) -> DataFrame:
         .when(F.col("mask").isNull(), "missing mask")
         .otherwise("paired")
     )
-    return paths.withColumn("status", status)
+    paired = paths.withColumn("status", status)
+    if shapes is None:
+        return paired
+    data = shapes.select(F.col("path").alias("data"), F.col("sizes").alias("_data_sizes"))
+    mask = shapes.select(F.col("path").alias("mask"), F.col("sizes").alias("_mask_sizes"))
+    differs = (F.col("status") == "paired") & (F.col("_data_sizes") != F.col("_mask_sizes"))
+    return (
+        paired.join(data, "data", "left")
+        .join(mask, "mask", "left")
+        .withColumn("status", F.when(differs, "shape differs").otherwise(F.col("status")))
+        .select(*paired.columns)
+    )
 
 
 def shape_mismatches(volumes: DataFrame, masks: DataFrame) -> DataFrame:

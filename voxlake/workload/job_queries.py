@@ -583,17 +583,19 @@ def s9(spark, d):
 
 @query(
     "s10_read_train_logs",
-    """SELECT fold, line_no AS event_id, 0 AS line_no, line FROM log_lines
-       UNION ALL SELECT fold, line_no, 1, 'heartbeat' FROM log_lines""",
+    """WITH n AS (SELECT fold, line, 2 * (row_number() OVER (PARTITION BY fold ORDER BY line_no) - 1) AS k FROM log_lines)
+       SELECT fold, CAST(k AS INT) AS line_no, line FROM n UNION ALL SELECT fold, CAST(k + 1 AS INT), 'heartbeat' FROM n""",
 )
 def s10(spark, d):
-    """Log texts of two lines each."""
-    texts = V.log_lines(spark, d).select(
-        "fold",
-        F.col("line_no").alias("event_id"),
-        F.concat("line", F.lit("\nheartbeat")).alias("value"),
+    """A log file per fold, two lines for each event, read back by fold."""
+    path = scratch(spark, "logs")
+    events = V.log_lines(spark, d).select(
+        "fold", "line_no", F.concat("line", F.lit("\nheartbeat")).alias("value")
     )
-    return R.log_documents(texts)
+    dealt = events.repartition("fold").sortWithinPartitions("fold", "line_no")
+    dealt.select("fold", "value").write.partitionBy("fold").text(path)
+    lines = R.read_train_logs(spark, f"{path}/fold=*/*.txt", r"fold=(\d+)")
+    return lines.where("line <> ''").select("fold", "line_no", "line")
 
 
 @query(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxlake.functions import boxes as B
-from voxlake.functions import text
 from voxlake.functions.vectors import l2_norm
 from voxlake.operators import audits as A
 from voxlake.operators import candidates as C
@@ -16,6 +17,7 @@ from voxlake.operators import voxels as VX
 from voxlake.operators.clustering import cluster_boxes, order_candidates
 from voxlake.operators.overlap import iou_join
 from voxlake.schemas import METRICS, NATIVE_SPACING_MM, TARGET_SPACING_MM
+from voxlake.session import ensure_checkpoint_dir
 from voxlake.sources.manifests import file_digest
 from voxlake.sources.tables import keep_row
 from voxlake.workload import views as V
@@ -129,6 +131,28 @@ def j5(spark, d):
     return A.pair_volume_mask(numbered(spark, d))
 
 
+SHAPES_SQL = f"""
+SELECT path, [10, 20, case_id % 5 + CASE WHEN kind = 'MASK' AND case_id % 11 = 0 THEN 1 ELSE 0 END] AS sizes
+FROM ({NUMBERED_SQL}) s
+"""
+
+
+@query(
+    "j5_pair_shapes",
+    f"""SELECT split, case_id, CASE WHEN data IS NULL THEN 'extra mask' WHEN mask IS NULL THEN 'missing mask'
+        WHEN v.sizes <> m.sizes THEN 'shape differs' ELSE 'paired' END AS status
+        FROM ({PAIRS_SQL}) p LEFT JOIN (SELECT path, any_value(sizes) AS sizes FROM ({SHAPES_SQL}) GROUP BY path) v ON v.path = data
+        LEFT JOIN (SELECT path, any_value(sizes) AS sizes FROM ({SHAPES_SQL}) GROUP BY path) m ON m.path = mask""",
+)
+def j5_shapes(spark, d):
+    files = numbered(spark, d)
+    odd = (F.col("kind") == "MASK") & (F.col("case_id") % 11 == 0)
+    third = F.col("case_id") % 5 + odd.cast("bigint")
+    sizes = F.array(F.lit(10).cast("bigint"), F.lit(20).cast("bigint"), third).alias("sizes")
+    paired = A.pair_volume_mask(files, files.select("path", sizes).dropDuplicates(["path"]))
+    return paired.select("split", "case_id", "status")
+
+
 @query(
     "j6_files_without_truth",
     f"""SELECT path, case_id FROM ({NUMBERED_SQL}) n WHERE kind = 'DATA'
@@ -708,9 +732,37 @@ def a16(spark, d):
     return folds_.split_digests(split_of(spark, d), 500)
 
 
-@query("a17_file_digest")
+@query(
+    "a17_file_digest",
+    """SELECT CAST(doc_id % 64 AS INT) AS bucket,
+       sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""",
+)
 def a17(spark, d):
-    return file_digest(spark, f"{d}/*.parquet").withColumn("path", text.base_name(F.col("path")))
+    """All texts written to 64 files in the order of their ids, and the files' raw bytes digested."""
+    path = f"{ensure_checkpoint_dir(spark)}/voxlake-texts-{uuid.uuid4().hex}"
+    rows = V.table(spark, d, "documents").selectExpr(
+        "CAST(doc_id % 64 AS INT) AS bucket", "doc_id", "coalesce(text, '') AS value"
+    )
+    dealt = rows.repartition(64, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id")
+    dealt.write.partitionBy("bucket").text(path)
+    digests = file_digest(spark, f"{path}/*/*.txt")
+    bucket = F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int").alias("bucket")
+    return digests.select(bucket, "sha256")
+
+
+@query(
+    "a17_text_digest",
+    """SELECT 'documents' AS source, doc_id AS id, sha256(text) AS sha256 FROM documents
+       UNION ALL SELECT 'pages', page_id, sha256(html) FROM pages""",
+)
+def a17_texts(spark, d):
+    def digested(name, key, column):
+        rows = V.table(spark, d, name)
+        return rows.select(
+            F.lit(name).alias("source"), F.col(key).alias("id"), F.sha2(column, 256).alias("sha256")
+        )
+
+    return digested("documents", "doc_id", "text").unionByName(digested("pages", "page_id", "html"))
 
 
 @query(
