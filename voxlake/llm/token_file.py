@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,12 +33,9 @@ BLOCK_IDS = 16_384
 IMAGE_IDS = 1 << 20
 GROUP = 64  # ids whose packed form fills whole words at any width
 
-# fixed value: the pre-token pattern of byte-level BPE
-PRETOKEN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
+MEMO_UNITS = 800_000
 
-SEGMENT = "part INT, seq INT, n_ids BIGINT, image BINARY"
+SEGMENT = "part INT, seq INT, before BIGINT, n_ids BIGINT, image BINARY"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -139,39 +135,35 @@ class Encoder:
         before = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
         if before.get("type") != "ByteLevel" or not before.get("use_regex", True):
             raise ValueError("only byte-level files with the usual pre-tokens are supported")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tokens = UnitMemo(self.encode_tokens)
-        self.memo = UnitMemo(self.encode_units)
+        self.memo = UnitMemo(self.encode_units, MEMO_UNITS)
 
     def encode_units(self, keys: list) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of units: those of their pre-tokens, joined.
+        """Little-endian 32-bit ids of units.
 
-        Units that hold the string of an added token are encoded as they are.
+        Units that have no white space beside their first space are put one after the other and
+        encoded as a few long texts; the widths of the ids tell where each unit ends.
         """
-        cut = PRETOKEN.findall
-        units = [
-            [u] if any(a in u for a in self.added) else cut(u) for u in map(unit_of, keys)
+        joined = [
+            k
+            for k in keys
+            if type(k) is str and k and not k[0].isspace() and not k[-1].isspace()
         ]
-        return map(b"".join, self.tokens.lookup(units))
-
-    def encode_tokens(self, tokens: list[str]) -> Iterator[bytes]:
-        """Ids of pre-tokens. Those of a space and more are put one after the other and encoded
-        as a few long texts; the widths of the ids tell where each ends."""
-        joined = [t for t in tokens if t[0] == " " and not t[-1].isspace()]
         found = dict(zip(joined, self.encode_joined(joined), strict=True))
-        alone = [t for t in tokens if t not in found]
-        out = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
-        found.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(alone, out, strict=True))
-        return (found[t] for t in tokens)
+        alone = [k for k in keys if k not in found]
+        out = self.tokenizer.encode_batch_fast(
+            [unit_of(k) for k in alone], add_special_tokens=False
+        )
+        found.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(alone, out, strict=True))
+        return map(found.__getitem__, keys)
 
     def encode_joined(self, keys: list[str]) -> Iterator[bytes]:
         parts = [keys[k : k + 4_000] for k in range(0, len(keys), 4_000)]
-        texts = ["".join(part) for part in parts]
+        texts = [" " + " ".join(part) for part in parts]
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         for part, encoded in zip(parts, out, strict=True):
             ids = np.array(encoded.ids, "<u4")
             bytes_before = np.concatenate([[0], np.cumsum(self.width[ids])])
-            ends = np.cumsum([len(k.encode("utf-8", "surrogatepass")) for k in part])
+            ends = np.cumsum([len(k.encode("utf-8", "surrogatepass")) + 1 for k in part])
             at = np.searchsorted(bytes_before, ends)
             if not np.array_equal(bytes_before[at], ends):
                 raise ValueError("an id crosses two units")
@@ -205,18 +197,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_state("token ids", tokenizer, lambda: Encoder(tokenizer))
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         doc_ids, ends, total = [], [], 0
 
         def image() -> pa.RecordBatch:
             data = build_image(doc_ids, ends, np.frombuffer(b"".join(held), "<u4"), bits)
             return pa.RecordBatch.from_pydict(
-                {"part": [part], "seq": [seq], "n_ids": [total], "image": [data]},
+                {
+                    "part": [part],
+                    "seq": [seq],
+                    "before": [before],
+                    "n_ids": [total],
+                    "image": [data],
+                },
                 schema=pa.schema(
                     [
                         ("part", pa.int32()),
                         ("seq", pa.int32()),
+                        ("before", pa.int64()),
                         ("n_ids", pa.int64()),
                         ("image", pa.binary()),
                     ]
@@ -233,7 +232,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     ends.append(total)
                     if total >= IMAGE_IDS:
                         yield image()
-                        held, doc_ids, ends, total, seq = [], [], [], 0, seq + 1
+                        before, seq = before + total, seq + 1
+                        held, doc_ids, ends, total = [], [], [], 0
         if doc_ids:
             yield image()
 
@@ -243,26 +243,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Images of ``path`` with ``first``, the number of ids in all images before each.
 
-    Only (part, seq, n_ids) are read for the offsets: one sum per part, the running total of
-    these, and a running sum inside each part.
+    An image knows the ids before it in its part; what is added is the sum of the parts before.
+    There is a part for each task that wrote, so their sums are few and are broadcast.
     """
     images = spark.read.schema(SEGMENT).parquet(path)
-    sizes = images.select("part", "seq", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = (Window.unboundedPreceding, -1)
-    parts = parts.select(
-        "part",
-        F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias(
-            "base"
-        ),
-    )
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(*before)
-    firsts = sizes.join(parts, "part").select(
-        "part",
-        "seq",
-        (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("first"),
-    )
-    return images.join(firsts, ["part", "seq"])
+    parts = images.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    joined = images.join(F.broadcast(parts), "part")
+    return joined.withColumn("first", F.col("base") + F.col("before"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
