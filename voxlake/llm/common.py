@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from voxlake.session import ensure_checkpoint_dir
 
 # rows per Arrow batch: texts may be long, so batches are kept short
-BATCH_ROWS = 1_000
+BATCH_ROWS = 512
+BATCH_BYTES = 6 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -22,7 +23,7 @@ def short_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +65,13 @@ def worker_state(kind: str, version: Any, build: Callable[[], Any]) -> Any:
     """What ``build`` gives, once per Python worker process and version, not once per task.
 
     Task functions travel by value, so module globals do not outlive a task; a module
-    object registered with the interpreter does. One version of a kind is held at a time.
+    object registered with the interpreter does. Only the last one is held: the stages of a
+    job follow one another in the same workers, and what an earlier stage needed is released.
     """
     holder = sys.modules.setdefault("_voxlake_worker", types.ModuleType("_voxlake_worker"))
     store = holder.__dict__.setdefault("store", {})
     if kind not in store or store[kind][0] != version:
+        store.clear()
         store[kind] = (version, build())
     return store[kind][1]
 

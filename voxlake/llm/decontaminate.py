@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from voxlake.llm.common import kept, short_batches, unused, worker_state
 
@@ -125,47 +124,70 @@ def shards(benchmark: DataFrame, limit: int = SHARD_CHARS) -> list[DataFrame]:
     return [benchmark.where(part == k) for k in range(count)]
 
 
-def _scanner(items: DataFrame, n: int):
+def _scanner(items: DataFrame, n: int, cut: bool = False):
+    """Scan of texts for the windows of ``items``; with ``cut`` also the text without its hits."""
     rows = [(r.item_id, r.text) for r in items.select("item_id", "text").toLocalIterator()]
     shared = items.sparkSession.sparkContext.broadcast(rows)
     version = uuid.uuid4().hex
     run = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-    @F.arrow_udf(SCAN)
+    @F.arrow_udf(f"STRUCT<{SCAN_FIELDS}, left: STRING>" if cut else SCAN)
     def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         windows = worker_state("windows", version, lambda: Windows(shared.value, n))
         for texts, priors in batches:
-            counts, spans, found = [], [], []
+            counts, spans, found, left = [], [], [], []
             for text, prior in zip(texts.to_pylist(), priors.to_pylist(), strict=True):
-                words = words_of((text or "").encode("utf-8", "surrogatepass"))
+                data = (text or "").encode("utf-8", "surrogatepass")
+                words = words_of(data)
                 runs, items = windows.hits(words, prior["hits"] if prior else None)
                 counts.append(len(words))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in runs])
                 found.append(sorted(items.union(prior["items"] if prior else ())))
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(counts, pa.int64()),
-                    pa.array(spans, pa.list_(run)),
-                    pa.array(found, pa.list_(pa.int64())),
-                ],
-                ["n_words", "hits", "items"],
-            )
+                if cut:
+                    left.append(without_words(data, runs) if len(runs) else text)
+            columns = [
+                pa.array(counts, pa.int64()),
+                pa.array(spans, pa.list_(run)),
+                pa.array(found, pa.list_(pa.int64())),
+            ]
+            names = ["n_words", "hits", "items"]
+            if cut:
+                columns, names = [*columns, pa.array(left, pa.string())], [*names, "left"]
+            yield pa.StructArray.from_arrays(columns, names)
 
     return scan
 
 
+def without_words(data: bytes, runs) -> str:
+    """A UTF-8 text without its runs of words, each from its first word to the end of its last."""
+    words = [m.span() for m in _WORD.finditer(data.translate(_KEPT))]
+    keep, at = [], 0
+    for start, end in runs:
+        keep.append(data[at : words[start][0]])
+        at = words[end - 1][1]
+    return b"".join([*keep, data[at:]]).decode("utf-8", "surrogatepass")
+
+
 def scan(
-    docs: DataFrame, benchmark: DataFrame, n: int = 10, column: str = "scan", limit: int = SHARD_CHARS
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = 10,
+    column: str = "scan",
+    limit: int = SHARD_CHARS,
+    cut: bool = False,
 ) -> DataFrame:
     """``docs`` with the struct ``column``: n_words, hits (word runs) and items (sorted ids).
 
-    An existing column of that name is replaced.
+    With ``cut`` it also has ``left``, the text without the hits: one pass of one worker does
+    both. An existing column of that name is replaced.
     """
     short_batches(docs.sparkSession)
     out = docs.withColumn(column, F.lit(None).cast(f"STRUCT<{SCAN_FIELDS}>"))
     parts = shards(benchmark, limit)
     for k, part in enumerate(parts):
-        out = out.withColumn(column, _scanner(part, n)(F.col("text"), F.col(column)))
+        out = out.withColumn(column, _scanner(part, n, cut and k + 1 == len(parts))(
+            F.col("text"), F.col(column)
+        ))
         if k + 1 < len(parts):  # one shard's tables in a task at a time
             out = kept(out, "decontaminate")
     return out
@@ -179,27 +201,6 @@ def hit_words(scan: Column) -> Column:
     )
 
 
-@F.arrow_udf(StringType())
-def _without(texts: pa.Array, hits: pa.Array) -> pa.Array:
-    out = []
-    for text, runs in zip(texts.to_pylist(), hits.to_pylist(), strict=True):
-        if runs:
-            data = text.encode("utf-8", "surrogatepass")
-            words = [m.span() for m in _WORD.finditer(data.translate(_KEPT))]
-            keep, at = [], 0
-            for run in runs:
-                keep.append(data[at : words[run["start"]][0]])
-                at = words[run["end"] - 1][1]
-            text = b"".join([*keep, data[at:]]).decode("utf-8", "surrogatepass")
-        out.append(text)
-    return pa.array(out, pa.string())
-
-
-def without_spans(text: Column, scan: Column) -> Column:
-    """The text without its hit runs, from the first hit word of a run to the end of its last."""
-    return _without(text, scan["hits"])
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.8
 ) -> DataFrame:
@@ -208,10 +209,10 @@ def decontaminate(
     Returns the columns of ``docs``; ``n_chars``, if there, counts what is left.
     """
     (scanned,) = unused(docs, "scanned")
-    found = scan(docs, benchmark, n, column=scanned)
+    found = scan(docs, benchmark, n, column=scanned, cut=True)
     found = found.where(
         (F.size(F.col(scanned)["hits"]) == 0)
         | (hit_words(F.col(scanned)) <= drop_share * F.col(scanned)["n_words"])
     )
-    out = found.withColumn("text", without_spans(F.col("text"), F.col(scanned))).drop(scanned)
+    out = found.withColumn("text", F.col(scanned)["left"]).drop(scanned)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out

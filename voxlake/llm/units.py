@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 from itertools import chain
 
-MEMO_UNITS = 500_000
+MEMO_UNITS = 350_000
 LONG_UNIT = 48
 
 
