@@ -294,9 +294,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     anchors = records.groupBy("a").count().where("count > 1").select("a")
     # copies of a text bring equal records: one is left, with their number
     shared = kept(
+        # grouped by the place, which says all else: the join's partitions stay free to be split
         records.join(anchors, "a", "left_semi")
-        .groupBy("a", "c", "t1", "t2", "lo", "n", "before")
-        .agg(F.count("*").alias("copies")),
+        .groupBy("t1", "t2", "lo")
+        .agg(
+            *(F.first(x).alias(x) for x in ("a", "c", "n", "before")),
+            F.count("*").alias("copies"),
+        ),
         "shared",
     )
     place = F.struct("t1", "t2", "lo")
