@@ -171,6 +171,39 @@ def test_one_of_each_keeps_one_row_of_a_group(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_only_texts_similar_at_0_8_count_as_copies(spark):
+    local = random.Random(8)
+    texts = []
+    for g in range(60):
+        base = [f"w{local.randrange(10**6)}" for _ in range(local.choice([2, 6, 7, 9, 40, 120]))]
+        for _ in range(6):
+            words = [*base]
+            for _ in range(local.randint(0, 1 + len(words) // 25)):
+                words[local.randrange(len(words))] = f"w{local.randrange(10**6)}"
+            texts.append(" ".join(words + [f"x{local.randrange(99)}"] * local.randint(0, 2)))
+    # 1,500 texts of six words that share nothing, and a passage that all texts of a batch share
+    texts += [" ".join(f"v{6 * k + i}" for i in range(6)) for k in range(1_500)]
+    passage = " ".join(f"p{k}" for k in range(70))
+    texts += [" ".join([passage, *(f"q{30 * k + i}" for i in range(30))]) for k in range(150)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    close = 0
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if not x.isdisjoint(y) and 5 * len(x & y) >= 4 * len(x | y):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+                close += 5 * len(x & y) < 4.5 * len(x | y)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    stay = {r.doc_id for r in simhash.one_of_each(frame).collect()}
+    assert close > 20 and stay == {top(k) for k in range(len(texts))}
+
+
 RULES = [
     urls.Rule("allow", place="org/"),
     urls.Rule("block", place="example.org/es/"),

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.common import kept, short_batches, unused, whole
 from voxlake.llm.components import components
+from voxlake.llm.jaccard import copy_groups
 
 STRIP = 1 << 17
 LEAST_STRIPS = 12
@@ -265,20 +266,15 @@ def near_groups(
     )
 
 
-def one_of_each(
-    docs: DataFrame, words: int = 5, bits: int = 128, radius: int = 26, parts: int = 1
-) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` without near-copies: of each group the row with the smallest doc_id stays.
 
-    With shingle sets of similarity 0.8 two fingerprints differ by 19 of 128 bits on average,
-    with a standard deviation of 4; unrelated texts by 64 with one of 6. The default radius
-    lies between: pairs at 0.8 are found with a probability of 0.95, pairs above with more.
+    Fingerprints only estimate a similarity, so groups come from the exact one of the shingle
+    sets (see ``jaccard``): all pairs at 0.8 and more are linked and none below.
     Rows that are equal in doc_id and text count as one. Null ids come first.
     """
-    groups = near_groups(docs.select("doc_id", "text"), words, bits, radius, parts)
-    stay = groups.groupBy("component_id").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("s")
-    )
+    groups = copy_groups(docs.select("doc_id", "text"), words)
+    stay = groups.groupBy("copies").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
     # a null id takes a number of its own, so that plain equality joins and deals it
     keys = unused(docs, "number", "text_hash")
     number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
