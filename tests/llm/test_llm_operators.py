@@ -356,6 +356,16 @@ def test_neighbours(spark):
     assert neighbours.nearest(few).count() == 2
 
 
+def test_rows_of_one_id_take_no_place_of_equal_vectors(spark):
+    local = np.random.default_rng(6)
+    vectors = [[float(x) for x in v] for v in local.normal(size=(200, 16))]
+    rows = [(7, vectors[0])] * 6 + [(i, vectors[0]) for i in range(8, 13)]
+    rows += [(1_000 + 7 * k + 1, v) for k, v in enumerate(vectors[1:])]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = neighbours.nearest(frame, every=7).where("query_id = 7").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [8, 9, 10, 11, 12]
+
+
 def test_recall_on_the_table(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = frame.orderBy("vec_id").collect()

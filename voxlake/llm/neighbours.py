@@ -50,10 +50,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def entries(rows: DataFrame, ids: int) -> DataFrame:
-    """Distinct vectors with their smallest ids. The limit also holds before the shuffle."""
+    """Distinct vectors with their smallest ids. The limit also holds before the shuffle.
+
+    Repeated rows go first, so that the limit counts ids.
+    """
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
     return (
-        rows.withColumn("n", F.row_number().over(by_id))
+        rows.dropDuplicates(["vec_id", "embedding"])
+        .withColumn("n", F.row_number().over(by_id))
         .where(F.col("n") <= ids)
         .groupBy("embedding")
         .agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
