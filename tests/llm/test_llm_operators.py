@@ -297,6 +297,26 @@ def test_secrets_and_ledger(spark, docs, empty):
     assert cut.first().t == "[assign] token: x [assign]' [access] [hex]"
 
 
+def test_whole_keys_and_long_passwords_are_redacted(spark):
+    local = random.Random(5)
+    body = ["".join(local.choices("abcXYZ0189+/", k=64)) for _ in range(9)] + ["Qk9EWQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    password = "".join(local.choices("abcXYZ0189_-", k=300))
+    made = {
+        1: ("a [private_key] b", "\n".join([f"a {begin}", *body, f"{end} b"])),
+        2: ("a [private_key]\n\nIt ends here.", "\n".join([f"a {begin}", *body, "", "It ends here."])),
+        3: ("[private_key]\", b", f'{begin}\\n' + "\\n".join(body) + '", b'),
+        4: ("[private_key]", "\r\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A", "", *body])),
+        5: ("[private_key]\n[private_key]\n-- no key", "\n".join([begin, *body, begin, *body, end, "-- no key"])),
+        6: ("see [url_login]host/x", f"see https://{'u' * 80}:{password}@host/x"),
+        7: (f"{begin[:-1]} no key", f"{begin[:-1]} no key"),
+    }
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in made.items()], "doc_id BIGINT, text STRING")
+    found = secrets.find_secrets(frame, scratch(spark, "ledger"))
+    got = {r.doc_id: r.t for r in found.select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: want for i, (want, _) in made.items()}
+
+
 def test_toxicity_learns_from_other_rows_than_it_is_measured_on(spark):
     out = queries.op5_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

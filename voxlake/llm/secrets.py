@@ -61,13 +61,23 @@ ACCESS = Rule("access", 1, "AKIA[A-Z0-9]+", least=20, needs=("akia",))
 HEX = Rule("hex", 1, "[0-9a-f]{24,}", least=24)
 BASE = (ASSIGN, ACCESS, HEX)
 
+# a key block: from its BEGIN to its END, or over the base64 lines that follow if no END comes
+# before the next BEGIN; line ends may be escaped, and encrypted keys have header lines
+_LINE_END = r"(?:[ \t]*+(?:\r\n?|\n|\\r\\n|\\n))"
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_LINE_END}++[ \t]*(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*"
+    r"""|[A-Za-z0-9+/=]+(?=[ \t]*(?:[\r\n\\"'`]|\Z)))|[ \t]*[A-Za-z0-9+/=]{16,})*)"""
+)
+
 # credential formats beside the base kinds
 ADDED = (
-    Rule("private_key", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", needs=("private key",)),
+    Rule("private_key", 2, _KEY, needs=("private key",)),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyj",)),
     Rule("hub_token", 1, "gh[pousr]_[A-Za-z0-9]{36,}", needs=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", needs=("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", needs=("://",)),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@", needs=("://",)),
 )
 RULES = BASE + ADDED
 
