@@ -339,6 +339,16 @@ def test_toxicity_on_awkward_rows(spark, docs, empty):
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in flags)
 
 
+def test_rows_of_one_id_are_one_row_of_the_sample(spark):
+    rows = [(0, f"text {k}") for k in range(500)] + [(i, f"other {i}") for i in range(1, 9)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id BIGINT, toxic INT")
+    ids = [r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()]
+    sample = toxicity.labelled_sample(docs, labels)
+    assert 0 in ids and sample.count() == len(ids)
+    assert sample.columns == ["text", "label"]
+
+
 def test_label_model_finds_rates_and_discounts_copies():
     local = np.random.default_rng(1)
     y = local.random(4_000) < 0.2

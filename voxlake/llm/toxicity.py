@@ -84,8 +84,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> D
     )
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` pairs of numbers, so the broadcast is bounded
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return joined.select(whole(F.col("text")).alias("text"), "label")
+    joined = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # rows that share an id count once, so that the bound holds for rows too
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("first")
+    return joined.groupBy("doc_id").agg(first).select("first.text", "first.label")
 
 
 def mine(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
