@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm import (
+    collocations,
     decontaminate,
+    negatives,
     neighbours,
     pieces,
     repeats,
@@ -17,6 +19,7 @@ from voxlake.llm import (
     token_file,
     toxicity,
     urls,
+    word_table,
 )
 from voxlake.llm.common import scratch, table, whole
 from voxlake.workload.registry import Registry
@@ -218,6 +221,91 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.query(
+    "op11_collocations",
+    """
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS g, count(*) AS a
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS v(s) WHERE len(w) >= s)
+  GROUP BY ALL
+), c AS (
+  SELECT lang, g AS phrase, s, a, k, array_to_string(string_split(g, ' ')[1 : k], ' ') AS left_part,
+    array_to_string(string_split(g, ' ')[k + 1 : s], ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM f WHERE s > 1 AND a >= 10)
+), cut AS (
+  SELECT c.lang, phrase, c.s, c.a, k, x.a AS l, y.a AS r,
+    (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.g = left_part JOIN f y ON y.lang = c.lang AND y.g = right_part
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, g, max(a) AS a FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(g, ' ')[1 : 2], ' '),
+      array_to_string(string_split(g, ' ')[2 : 3], ' ')]) AS g FROM f WHERE s = 3 AND a >= 10)
+  GROUP BY ALL
+), left_over AS (
+  SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.g = phrase
+  WHERE longer.a IS NULL OR 100 * longer.a < 50 * best.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score::BIGINT AS score
+FROM left_over JOIN totals USING (lang)
+QUALIFY rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op12_word_table")
+def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digests = {
+        "n_tokens": (F.octet_length("ids") / 4).cast("bigint"),
+        "ids_sha256": F.sha2("ids", 256),
+        "decoded_sha256": F.sha2("decoded", 256),
+    }
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return word_table.encode_decode(docs, path, derive=digests).select("doc_id", "encoded.*")
+
+
+@REGISTRY.query(
+    "op13_hard_negatives",
+    """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""",
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.rotated_labels(table(spark, sf_dir, "embeddings")))
+
+
 def queries():
     return dict(REGISTRY.queries)
 
