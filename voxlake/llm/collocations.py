@@ -8,9 +8,10 @@ A to Z are lower-cased. Everything is counted per language.
    summaries are added and, if there are more than the capacity, the largest one beyond it is
    subtracted from all. There are so many partitions that the capacity exceeds a partition's mass
    divided by ``least``; then less than ``least`` is subtracted in all, and whatever occurs ``least``
-   times keeps a counter. Should one partition get more (its size is left to hashes), it keeps more
-   counters rather than subtract that much.
-2. The hashes that are left mark bits of a map of fixed size. It only saves work: an n-gram that
+   times keeps a counter, to which no more than what was subtracted is missing. Should one
+   partition get more (its size is left to hashes), it keeps more counters rather than subtract
+   that much.
+2. The hashes that may be frequent mark bits of a map of fixed size. It only saves work: an n-gram that
    shares its bit with a survivor is counted too, and left out when its count is known. Words and
    pairs come first, then those triples whose two pairs are marked.
 3. Second pass: the n-grams whose bit is set are counted exactly, by their words.
@@ -38,9 +39,9 @@ from voxlake.llm.common import kept, short_batches, whole, worker_state
 
 LONGEST = 3
 #: counters of one summary, about; a partition's mass is ``least`` times as much
-COUNTERS = 1 << 20
+COUNTERS = 1 << 19
 #: log2 of the bits of the map of survivors
-MAP_BITS = 28
+MAP_BITS = 27
 #: word positions that a task holds before it adds up its n-grams
 HELD = 1 << 20
 #: words that a worker remembers the hashes of
@@ -237,9 +238,11 @@ def survivors(partial: DataFrame, least: int, capacity: int) -> DataFrame:
 
     def slice_of(summary: Summary) -> pa.RecordBatch:
         summary.settle()
-        bits = (summary.grams >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-        first = int(bits[0]) >> 3 << 3
-        flags = np.zeros(((int(bits[-1]) - first) // 8 + 1) * 8, np.uint8)
+        # a counter lacks ``error`` at most
+        often = summary.grams[summary.counts + summary.error >= least]
+        bits = (often >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        first = int(bits[0]) >> 3 << 3 if len(bits) else 0
+        flags = np.zeros(((int(bits[-1]) - first) // 8 + 1) * 8 if len(bits) else 0, np.uint8)
         flags[bits - first] = 1
         return pa.RecordBatch.from_pydict({
             "first_bit": pa.array([first], pa.int64()),
