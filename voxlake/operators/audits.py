@@ -169,8 +169,8 @@ def shape_mismatches(volumes: DataFrame, masks: DataFrame) -> DataFrame:
 def duplicate_case_files(numbered: DataFrame) -> DataFrame:
     """(split, kind, case_id) with more than one file.
 
-    The row names the first and last path; joining back on the keys lists them all,
-    so a case with very many copies is never one row.
+    The row names the first and last path; ``surplus_files`` lists them all, a row each, so a
+    case with very many copies is never one row.
     """
     keys = ["split", "kind", "case_id"]
     return numbered.groupBy(*keys).agg(
@@ -180,6 +180,13 @@ def duplicate_case_files(numbered: DataFrame) -> DataFrame:
     ).where("n_files > 1")
 
 
+def surplus_files(numbered: DataFrame) -> DataFrame:
+    """(split, kind, case_id, path): every file of a case beyond its first path, a row each."""
+    keys = ["split", "kind", "case_id"]
+    copies = duplicate_case_files(numbered).select(*keys, "first_path")
+    return numbered.join(copies, keys).where(F.col("path") > F.col("first_path")).select(*keys, "path")
+
+
 def split_count_check(numbered: DataFrame, expected: DataFrame) -> DataFrame:
     """Discovered against expected DATA cases per split; nothing found counts as 0."""
     found = (

@@ -4,34 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxlake.functions import boxes as B
-from voxlake.operators.skew import hot_groups
+from voxlake.operators.levels import CELL, cell_rows, corner_cell, level_of, level_range, levels_apart, marked_range
 from voxlake.schemas import AXES
 
 
-def touched_cells(box: Column, cell: int) -> list[Column]:
-    """Per axis, the range of grid cells a box touches."""
-    return [
-        F.sequence(F.floor(B.lower(box, a) / cell), F.floor(B.upper(box, a) / cell)) for a in AXES
-    ]
-
-
-def center_cells(box: Column, cell: int) -> list[Column]:
-    """Per axis, the one cell of a box's (rounded down) centre."""
-    return [
-        F.array(F.floor(F.floor((B.lower(box, a) + B.upper(box, a)) / 2) / cell)) for a in AXES
-    ]
+#: blocks of a hot case's rows on either side, at most
+MOST_BLOCKS = 8
 
 
-def _with_cells(df: DataFrame, cells: list[Column]) -> DataFrame:
-    """One row per cell; boxes of unblocked cases stay one row."""
-    whole = F.array(F.lit(0).cast("bigint"))
-    for i, span in enumerate(cells):
-        df = df.withColumn(
-            f"_c{i}", F.explode_outer(F.when(F.col("_blocked"), span).otherwise(whole))
-        )
-    return df
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the row's own content: the same in a repeated task."""
+    maps = (T.MapType, T.VariantType)
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, maps)])
 
 
 def iou_join(
@@ -41,45 +28,70 @@ def iou_join(
     left_box: str = "left_box",
     right_box: str = "right_box",
     case: str = "case_id",
-    cell: int = 64,
+    cell: int = 8,
     max_group: int = 4096,
 ) -> DataFrame:
     """Pairs within a case with IoU strictly above ``threshold``, with their ``iou``.
 
-    Cases beyond ``max_group`` right-hand boxes are blocked on a grid. From a
-    threshold of 0.5 on, a pair shares more than half of either box on every axis and
-    so contains both centres: left boxes stand in the cell of their centre, right
-    boxes in every cell they touch. Below that both sides repeat per touched cell, and
-    a pair is reported only in the cell that holds the lower corner of its
-    intersection. Either way no duplicates need removing. Column names other than the
-    case must differ between the sides.
+    Cases with more than ``max_group`` squared pairs are blocked on the level grid of ``levels``,
+    whose finest cells have edges of ``cell``. From a threshold of 0.5 on, a pair shares more than
+    half of either box on every axis and so contains both centres: right boxes stand in the cells
+    they touch on their own level, left ones in the cell of their centre on this level and its
+    neighbours. Below that the side with the smaller box looks for the other on its level, and a
+    pair is reported only in the cell that holds the lower corner of its intersection. Either way
+    no duplicates need removing. The rows of a hot case are dealt into up to ``MOST_BLOCKS`` blocks
+    on either side by a hash of the row, and each block meets each block of the other side, so that
+    the pairs of one hot cell are the work of many tasks.
+    Column names other than the case must differ between the sides.
     """
     if threshold < 0:
         raise ValueError("a threshold below 0 would pair all boxes of a case")
-    blocked = hot_groups(right, [case], max_group).withColumn("_blocked", F.lit(True))
+    # the coarsest levels are needed only where boxes of any two levels may overlap
+    apart = levels_apart(threshold)
+    tops = [level_of(F.col(box), cell) if apart is None else F.lit(None) for box in (left_box, right_box)]
+    sizes = [
+        df.groupBy(case).agg(F.count("*").cast("double").alias(n), F.max(top).alias(name))
+        for df, n, top, name in zip((left, right), ("_nl", "_nr"), tops, ("_tl", "_tr"), strict=True)
+    ]
+    pairs = F.col("_nl") * F.col("_nr") / (float(max_group) * max_group)
+    blocked = sizes[0].join(sizes[1], case).where(pairs > 1).select(
+        case, F.least(F.lit(MOST_BLOCKS), F.ceil(F.sqrt(pairs))).cast("int").alias("_parts"), "_tl", "_tr"
+    )
     sides = []
-    for df, box, volume in ((left, left_box, "_vl"), (right, right_box, "_vr")):
-        flagged = (
-            df.join(blocked, case, "left")
-            .withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
-            .withColumn(volume, B.box_volume(F.col(box)))
-        )
-        pick = center_cells if threshold >= 0.5 and df is left else touched_cells
-        sides.append(_with_cells(flagged, pick(F.col(box), cell)))
-    first, second = sides
-    keys = [case, "_blocked", "_c0", "_c1", "_c2"]
-    a, b = F.col(left_box), F.col(right_box)
+    for df, box, volume, own, dealt, met in (
+        (left, left_box, "_vl", "_ol", "_i", "_j"), (right, right_box, "_vr", "_or", "_j", "_i")
+    ):
+        side = df.withColumn("_h", _row_hash(df)).join(blocked, case, "left")
+        side = side.withColumns({
+            "_blocked": F.col("_parts").isNotNull(),
+            volume: B.box_volume(F.col(box)),
+            own: level_of(F.col(box), cell),
+            dealt: F.pmod(F.col("_h"), F.coalesce("_parts", F.lit(1))).cast("int"),
+            met: F.explode_outer(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)),
+        })
+        sides.append(side.drop("_h", "_parts"))
+    a, b, ol, or_, hot = (F.col(c) for c in (left_box, right_box, "_ol", "_or", "_blocked"))
+    if threshold >= 0.5:
+        first = cell_rows(sides[0], a, level_range(F.greatest(F.lit(0), ol - 1), ol + 1), cell, True, hot)
+        second = cell_rows(sides[1], b, level_range(or_, or_), cell, active=hot)
+    else:
+        last = [F.col(top) if apart is None else own + apart for top, own in (("_tr", ol), ("_tl", or_))]
+        # without a mark the right box's level is no finer than the left one's, with one it is
+        up_left = F.concat(level_range(ol, last[0]), marked_range(ol, ol))
+        up_right = F.concat(level_range(or_, or_), marked_range(or_ + 1, last[1]))
+        first = cell_rows(sides[0], a, up_left, cell, active=hot)
+        second = cell_rows(sides[1], b, up_right, cell, active=hot)
     at_corner = F.lit(True)
     for i, axis in enumerate(AXES if threshold < 0.5 else ()):
-        corner = F.floor(F.greatest(B.lower(a, axis), B.lower(b, axis)) / cell)
-        at_corner = at_corner & (~F.col("_blocked") | (corner == F.col(f"_c{i}")))
+        at_corner = at_corner & (~hot | (corner_cell(a, b, axis, F.col("_level"), cell) == F.col(f"_c{i}")))
     # the test divides once and needs no zero case: an empty intersection is never above 0
     inter = B.intersection_volume(a, b)
     iou = inter / (F.col("_vl") + F.col("_vr") - inter)
+    keys = [case, "_blocked", *CELL, "_i", "_j"]
     return (
-        first.join(second, keys)
+        first.drop("_tl", "_tr").join(second.drop("_tl", "_tr"), keys)
         # the corner test is cheap and settles most repeated pairs
         .where(at_corner & (iou > threshold))
         .withColumn("iou", iou)
-        .drop("_blocked", "_vl", "_vr", "_c0", "_c1", "_c2")
+        .drop("_vl", "_vr", "_ol", "_or", *keys[1:])
     )

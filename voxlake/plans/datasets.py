@@ -95,9 +95,14 @@ def verify_dataset(*args, **kwargs) -> list:
     return rows
 
 
-def catalog_problems(numbered: DataFrame, truth: DataFrame, expected: DataFrame) -> DataFrame:
-    """(problem, split, case_id) rows that forbid an export."""
-    pairs = A.pair_volume_mask(numbered)
+def catalog_problems(
+    numbered: DataFrame, truth: DataFrame, expected: DataFrame, shapes: DataFrame | None = None
+) -> DataFrame:
+    """(problem, split, case_id) rows that forbid an export.
+
+    With ``shapes(path, sizes)`` a volume and a mask of different sizes are a problem, too.
+    """
+    pairs = A.pair_volume_mask(numbered, shapes)
     volumes = pairs.where(F.col("data").isNotNull())
 
     def tag(df: DataFrame, name: str) -> DataFrame:
@@ -107,6 +112,7 @@ def catalog_problems(numbered: DataFrame, truth: DataFrame, expected: DataFrame)
     return (
         tag(A.duplicate_case_files(numbered), "duplicate file")
         .unionByName(tag(pairs.where("status = 'missing mask'"), "missing mask"))
+        .unionByName(tag(pairs.where("status = 'shape differs'"), "shape differs"))
         .unionByName(tag(A.cases_without_truth(volumes, truth), "no truth row"))
         .unionByName(
             tag(counts.withColumn("case_id", F.lit(None).cast("bigint")), "case count")
@@ -121,12 +127,13 @@ def catalog_dataset(
     spacing: Sequence[float] = NATIVE_SPACING_MM,
     target: Sequence[float] = TARGET_SPACING_MM,
 ) -> DataFrame:
-    """Planned outputs, one row per paired case: names, lesions, resampled sizes.
+    """Planned outputs, one row per paired case: names, lesions, resampled sizes, ``status``.
 
-    Labels are written for train cases only, and only where the case has one lesion.
+    Labels are written for train cases only, and only where the case has one lesion. A case
+    without a truth row stays in the plan, with no lesions and a status that says so.
     """
     pairs = A.pair_volume_mask(numbered).where("status = 'paired'")
-    planned = pairs.join(A.lesion_counts(truth), "case_id").withColumn(
+    planned = pairs.join(A.lesion_counts(truth), "case_id", "left").withColumn(
         "names", canonical_names(F.col("case_id"))
     )
     train = F.col("split") == "Train"
@@ -138,8 +145,9 @@ def catalog_dataset(
         F.col("names.image").alias("image"),
         F.when(train, F.col("names.label")).alias("label"),
         F.when(train, F.col("names.sidecar")).alias("sidecar"),
-        "n_lesions",
-        (train & F.col("rejected")).alias("rejected"),
+        F.coalesce("n_lesions", F.lit(0)).cast("bigint").alias("n_lesions"),
+        (train & F.coalesce("rejected", F.lit(False))).alias("rejected"),
+        F.when(F.col("n_lesions").isNull(), "no truth row").otherwise("planned").alias("status"),
     )
     if sizes is None:
         return planned

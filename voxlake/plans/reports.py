@@ -22,13 +22,15 @@ def quality_report(
 
     Layout: ``fold<k>/val_results/results_boxes.json``, ``fold<k>/sweep/sweep_*.json``
     and ``fold<k>/train.log``. A fold without metrics is an error; one without a log has a
-    status that says so.
+    status that says so. ``rejects`` has the path and the reason of each damaged file.
     """
-    metrics = R.read_fold_metrics(spark, f"{root}/fold*/val_results/results_boxes.json")
+    metric_files = f"{root}/fold*/val_results/results_boxes.json"
+    metrics = R.read_fold_metrics(spark, metric_files)
     missing = sorted(set(range(n_folds)) - {r[0] for r in metrics.select("fold").distinct().collect()})
     if missing:
         raise SourceError(f"no metric file for folds {missing} below {root}")
-    sweep = R.sweep_metric(R.read_sweep(spark, f"{root}/fold*/sweep/sweep_*.json"))
+    sweep_files = f"{root}/fold*/sweep/sweep_*.json"
+    sweep = R.sweep_metric(R.read_sweep(spark, sweep_files))
     lines = R.read_train_logs(spark, f"{root}/fold*/train.log")
     losses = Q.loss_lines(lines)
     expected = spark.range(n_folds).select(F.col("id").cast("int").alias("fold"))
@@ -42,6 +44,7 @@ def quality_report(
         "sweep": Q.sweep_extremes(sweep),
         "convergence": status,
         "all_complete": Q.all_complete(status),
+        "rejects": R.fold_metric_rejects(spark, metric_files).unionByName(R.sweep_rejects(spark, sweep_files)),
     }
 
 

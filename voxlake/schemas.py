@@ -86,5 +86,6 @@ HEADER = T.StructType(
         T.StructField("directions", T.ArrayType(T.ArrayType(T.DoubleType()))),
         T.StructField("origin", T.ArrayType(T.DoubleType())),
         T.StructField("dtype", T.StringType()),
+        T.StructField("problem", T.StringType()),
     ]
 )

@@ -4,26 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxlake.functions.text import detection_case_id
 from voxlake.schemas import DETECTION_RECORD
 
 
-def landing_records(spark: SparkSession, landing: str, stream: bool = False) -> DataFrame:
-    """One row per JSON record ``<digits>_boxes.json`` with its path."""
+DAMAGED = "_damaged"
+
+
+def landing_records(
+    spark: SparkSession, landing: str, stream: bool = False, packed: bool = False, names: str | None = None
+) -> DataFrame:
+    """One row per JSON record with its path; what is no record has its text in ``_damaged``.
+
+    A record is a file ``<digits>_boxes.json``, over as many lines as it likes. ``packed`` files
+    (``*.jsonl``, or what the pattern ``names`` says) hold a record on each line, with its ``name``
+    in place of the file's.
+    """
+    schema = T.StructType([*DETECTION_RECORD.fields, *([T.StructField("name", T.StringType())] if packed else [])])
     reader = spark.readStream if stream else spark.read
-    return (
-        reader.schema(DETECTION_RECORD)
-        .option("pathGlobFilter", "*_boxes.json")
+    records = (
+        reader.schema(schema.add(DAMAGED, T.StringType()))
+        .option("columnNameOfCorruptRecord", DAMAGED)
+        .option("multiLine", not packed)
+        .option("pathGlobFilter", names or ("*.jsonl" if packed else "*_boxes.json"))
         .json(landing)
-        .select("*", F.col("_metadata.file_path").alias("path"))
     )
+    return records.select("*", F.col("_metadata.file_path").alias("path"))
 
 
 def checked_records(records: DataFrame) -> DataFrame:
     """Records with ``case_id`` and the ``reason`` to skip them (NULL: keep)."""
+    damaged = F.col(DAMAGED).isNotNull() if DAMAGED in records.columns else F.lit(False)
+    name = F.col("name") if "name" in records.columns else F.col("path")
     reason = (
-        F.when(F.col("case_id").isNull(), "name is not <digits>_boxes")
+        F.when(damaged, "not a JSON record")
+        .when(F.col("case_id").isNull(), "name is not <digits>_boxes")
         .when(F.col("pred_boxes").isNull(), "no pred_boxes")
         .when(F.col("pred_scores").isNull(), "no pred_scores")
         .when(
@@ -32,9 +49,7 @@ def checked_records(records: DataFrame) -> DataFrame:
         )
         .when(F.size("pred_boxes") != F.size("pred_scores"), "boxes and scores differ in number")
     )
-    return records.withColumn("case_id", detection_case_id(F.col("path"))).withColumn(
-        "reason", reason
-    )
+    return records.withColumn("case_id", detection_case_id(name)).withColumn("reason", reason)
 
 
 def explode_records(checked: DataFrame) -> DataFrame:
@@ -52,9 +67,11 @@ def explode_records(checked: DataFrame) -> DataFrame:
     )
 
 
-def read_detections(spark: SparkSession, landing: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_detections(
+    spark: SparkSession, landing: str, packed: bool = False, names: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(detections, scored cases, rejects). A record with no boxes is a scored case."""
-    checked = checked_records(landing_records(spark, landing))
+    checked = checked_records(landing_records(spark, landing, packed=packed, names=names))
     scored = checked.where(F.col("reason").isNull()).select(
         "case_id", F.size("pred_boxes").alias("n_detections")
     )

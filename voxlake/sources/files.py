@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxlake.functions.text import base_name, case_id_from_name
 from voxlake.schemas import HEADER
@@ -37,11 +42,27 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _vectors(text: str) -> list[list[float]]:
-    return [[float(v) for v in group.split(",")] for group in re.findall(r"\(([^)]*)\)", text)]
+    groups = re.findall(r"\(([^)]*)\)", text)
+    if not groups and text != "none":
+        raise ValueError(text)
+    return [[float(v) for v in group.split(",")] for group in groups]
+
+
+# the fields that are read: name in the file, column, and what it is made of
+_FIELDS = (
+    ("dimension", "dim", int),
+    ("sizes", "sizes", lambda v: [int(n) for n in v.split()]),
+    ("space directions", "directions", _vectors),
+    ("space origin", "origin", lambda v: next(iter(_vectors(v)), None)),
+    ("type", "dtype", lambda v: "uint8" if v in BYTE_TYPES else v),
+)
 
 
 def parse_header(text: str) -> dict:
-    """Fields of a volume's text header (up to its first empty line)."""
+    """Fields of a volume's text header (up to its first empty line), and its ``problem``.
+
+    A field that is absent is None; one that cannot be read is None and named by the problem.
+    """
     fields = {}
     for line in text.splitlines():
         if not line.strip():
@@ -49,24 +70,38 @@ def parse_header(text: str) -> dict:
         name, found, value = line.partition(":")
         if found and not line.startswith("#"):
             fields[name.strip().lower()] = value.strip()
-    origin = _vectors(fields["space origin"]) if "space origin" in fields else None
-    directions = fields.get("space directions")
-    kind = fields.get("type")
-    return {
-        "dim": int(fields["dimension"]) if "dimension" in fields else None,
-        "sizes": [int(n) for n in fields["sizes"].split()] if "sizes" in fields else None,
-        "directions": None if directions is None else _vectors(directions),
-        "origin": origin[0] if origin else None,
-        "dtype": "uint8" if kind in BYTE_TYPES else kind,
-    }
+    out, bad = {}, []
+    for name, column, made in _FIELDS:
+        out[column] = None
+        if name in fields:
+            try:
+                out[column] = made(fields[name])
+            except ValueError:
+                bad.append(name)
+    if not fields:
+        bad.append("whole header")
+    out["problem"] = f"malformed {', '.join(bad)}" if bad else None
+    return out
+
+
+def _uri(path: str) -> str:
+    return re.sub(r"^file:/+", "file:///", path)
 
 
 def open_path(uri: str):
     """Byte stream of a file on any file system the workers know."""
-    filesystem, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    filesystem, path = fs.FileSystem.from_uri(_uri(uri))
     return filesystem.open_input_stream(path)
 
 
+def write_file(uri: str, data: bytes) -> None:
+    """A small file on any file system the workers know; folders are made as needed."""
+    filesystem, path = fs.FileSystem.from_uri(_uri(uri))
+    filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+    with filesystem.open_output_stream(path) as stream:
+        stream.write(data)
+
+
 def _leading_text(uri: str) -> str:
     """The file up to its first empty line, however long that part is."""
     held = bytearray()
@@ -88,3 +123,93 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_headers(files: DataFrame) -> DataFrame:
     """Header fields of each file; a file is read up to the end of its header."""
     return files.select("path").mapInPandas(_read_batches, HEADER)
+
+
+# --- a data source of headers -----------------------------------------------
+
+#: what opening a file counts for, in bytes, when files are dealt to tasks
+OPEN_BYTES = 1 << 20
+PARTITION_BYTES = 128 << 20
+BATCH_FILES = 256
+VOLUME_NAME = re.compile(r"^(DATA|MASK)_(\d+)\.nrrd$")
+
+VOLUME = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("case_id", T.LongType()),
+        *(f for f in HEADER.fields if f.name != "path"),
+    ]
+)
+
+
+@dataclass
+class FileBundle(InputPartition):
+    """Files that one task reads: path, length, kind and case number of each."""
+
+    files: list[tuple[str, int, str, int]]
+
+
+class VolumeReader(DataSourceReader):
+    """Lists the files once, deals them to tasks by bytes, and reads headers in the tasks."""
+
+    def __init__(self, options: dict) -> None:
+        self.root = options["path"]
+        self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
+
+    def partitions(self) -> list[FileBundle]:
+        filesystem, root = fs.FileSystem.from_uri(_uri(self.root))
+        bundles: list[FileBundle] = []
+        room = 0
+        for info in filesystem.get_file_info(fs.FileSelector(root, recursive=True)):
+            named = VOLUME_NAME.match(info.base_name)
+            if info.type != fs.FileType.File or named is None:
+                continue
+            cost = min(info.size, READ_BYTES) + OPEN_BYTES
+            if room < cost:
+                bundles.append(FileBundle([]))
+                room = self.bytes
+            room -= cost
+            # the same scheme as the root's
+            path = self.root.rstrip("/") + info.path[len(root.rstrip("/")) :]
+            bundles[-1].files.append((path, info.size, named[1], int(named[2])))
+        return bundles or [FileBundle([])]
+
+    def read(self, partition: FileBundle) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(VOLUME)
+        for at in range(0, len(partition.files), BATCH_FILES):
+            rows = []
+            for path, length, kind, case_id in partition.files[at : at + BATCH_FILES]:
+                row = {"path": path, "length": length, "kind": kind, "case_id": case_id}
+                try:
+                    row |= parse_header(_leading_text(path))
+                except OSError as error:
+                    row["problem"] = f"not readable: {type(error).__name__}"
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+class VolumeSource(DataSource):
+    """``spark.read.format("volume_headers").load(root)``: a row for each volume and mask file below
+    ``root`` with its header's fields; ``problem`` says what of a header cannot be read.
+
+    ``partitionBytes`` bounds what one task reads; a file counts for its header's first bytes and
+    for its opening.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "volume_headers"
+
+    def schema(self) -> T.StructType:
+        return VOLUME
+
+    def reader(self, schema: T.StructType) -> VolumeReader:
+        return VolumeReader(self.options)
+
+
+def read_volumes(spark: SparkSession, root: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """The rows of ``VolumeSource`` below ``root``."""
+    spark.dataSource.register(VolumeSource)
+    return spark.read.format("volume_headers").option("partitionBytes", str(partition_bytes)).load(root)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from voxlake.functions import boxes as B
 from voxlake.functions import frames
@@ -17,12 +20,15 @@ from voxlake.operators import voxels as VX
 from voxlake.operators.clustering import cluster_boxes
 from voxlake.plans import datasets as D
 from voxlake.plans import ensembles as E
-from voxlake.schemas import NATIVE_SPACING_MM
+from voxlake.plans.scorers import BatchScorer
+from voxlake.schemas import BOX, BOX_FIELDS, NATIVE_SPACING_MM
 from voxlake.session import ensure_checkpoint_dir
+from voxlake.sources import files as FS
 from voxlake.sources import manifests as M
 from voxlake.sources import reports as R
 from voxlake.sources import tables as T
-from voxlake.sources.detections import checked_records, explode_records
+from voxlake.sources.detections import read_detections
+from voxlake.sources.files import write_file
 from voxlake.workload import views as V
 from voxlake.workload.box_queries import AX, KEYS, r, residual_sql, slots_box_sql, split_of
 from voxlake.workload.registry import Registry
@@ -46,6 +52,7 @@ from voxlake.workload.table_queries import (
     corner_sql,
     expected_counts,
     EXPECTED_SQL,
+    file_shapes,
     NUMBERED_SQL,
     flat_clusters,
     gap,
@@ -74,6 +81,12 @@ def x1(spark, d):
     return flat_clusters(cluster_boxes(V.proposals(spark, d), 0.5, max_source=4))
 
 
+@query("x1_cluster_boxes_hot", CLUSTER_SQL)
+def x1_hot(spark, d):
+    """All cases by the plan for cases that no task may take whole."""
+    return flat_clusters(cluster_boxes(V.proposals(spark, d), 0.5, max_group=1, max_source=4))
+
+
 ENSEMBLE_SQL = (
     cluster_ctes("SELECT * FROM proposals JOIN embeddings USING (vec_id)")
     + f""" SELECT c.*, round(e.e0, 5) + 0.0 AS e0, round(e.e63, 5) + 0.0 AS e63, 'val' AS split FROM (
@@ -125,6 +138,40 @@ def x3(spark, d):
     return scored.select(*KEYS, "score", F.col("source_detectors")[0].alias("source"))
 
 
+@query(
+    "x3_batch_scorer",
+    """SELECT case_id, k AS det_idx, (case_id * 7 + k * 13) % 100 / 100.0 AS score, case_id % 40 + k AS min_d0, case_id % 40 + k + 9 AS max_d0,
+       2 AS source, 4 AS width FROM (SELECT case_id, unnest([0, 1, 2]) AS k FROM split WHERE fold = 2) s""",
+)
+def x3_batch(spark, d):
+    """Three candidates a case from a scorer of Arrow batches with an enforced schema."""
+    schema = (
+        T_.StructType()
+        .add("case_id", T_.LongType()).add("det_idx", T_.LongType()).add("score", T_.DoubleType()).add("box", BOX)
+        .add("embedding", T_.ArrayType(T_.FloatType()))
+    )
+
+    def score(batches):
+        for batch in batches:
+            case = np.repeat(batch.column("case_id").to_numpy(), 3)
+            k = np.tile(np.arange(3), len(batch))
+            lo = case % 40 + k
+            ends = [pa.array(lo + (9 if name.startswith("max") else 0), pa.int64()) for name in BOX_FIELDS]
+            yield pa.RecordBatch.from_pydict({
+                "case_id": pa.array(case, pa.int64()),
+                "det_idx": pa.array(k, pa.int64()),
+                "score": pa.array((case * 7 + k * 13) % 100 / 100.0),
+                "box": pa.StructArray.from_arrays(ends, list(BOX_FIELDS)),
+                "embedding": pa.array([[float(x)] * 4 for x in k], pa.list_(pa.float32())),
+            })
+
+    scored = E.oof_candidates(2, BatchScorer(score, schema, dim=4), split_of(spark, d))
+    return scored.select(
+        "case_id", "det_idx", "score", F.col("box.min_d0").alias("min_d0"), F.col("box.max_d0").alias("max_d0"),
+        F.col("source_detectors")[0].alias("source"), F.size("embedding").alias("width"),
+    )
+
+
 TILE_DETS_SQL = "SELECT *, CAST(det_idx % 8 AS INT) AS tile_idx, CAST(det_idx % 8 AS INT) AS fold2 FROM slots"
 _TILE_POINTS = f"""SELECT case_id, tile_idx, det_idx, (s4 + s5) / 2 AS p_d0, (s1 + s3) / 2 AS p_d1, (s0 + s2) / 2 AS p_d2
   FROM ({TILE_DETS_SQL}) td"""
@@ -341,17 +388,22 @@ def x10(spark, d):
     "x11_catalog_dataset",
     f"""SELECT split, case_id, data, mask, {_concat_name('_0000.nii.gz')} AS image,
         CASE WHEN split = 'Train' THEN {_concat_name('.nii.gz')} END AS label,
-        CASE WHEN split = 'Train' THEN {_concat_name('.json')} END AS sidecar, n_lesions, split = 'Train' AND rejected AS rejected
-        FROM ({PAIRS_SQL}) p JOIN ({LESIONS_SQL}) l USING (case_id) WHERE data IS NOT NULL AND mask IS NOT NULL""",
+        CASE WHEN split = 'Train' THEN {_concat_name('.json')} END AS sidecar, coalesce(n_lesions, 0) AS n_lesions,
+        split = 'Train' AND coalesce(rejected, false) AS rejected,
+        CASE WHEN n_lesions IS NULL THEN 'no truth row' ELSE 'planned' END AS status
+        FROM ({PAIRS_SQL}) p LEFT JOIN (SELECT * FROM ({LESIONS_SQL}) k WHERE case_id % 97 <> 0) l USING (case_id)
+        WHERE data IS NOT NULL AND mask IS NOT NULL""",
 )
 def x11(spark, d):
-    return D.catalog_dataset(numbered(spark, d), order_lesions(spark, d))
+    """Some cases have no truth row; they stay in the plan."""
+    return D.catalog_dataset(numbered(spark, d), order_lesions(spark, d).where("case_id % 97 <> 0"))
 
 
 @query(
     "x11_catalog_problems",
     f"""SELECT 'duplicate file' AS problem, split, case_id FROM ({NUMBERED_SQL}) n GROUP BY split, kind, case_id HAVING count(*) > 1
         UNION ALL SELECT 'missing mask', split, case_id FROM ({PAIRS_SQL}) p WHERE data IS NOT NULL AND mask IS NULL
+        UNION ALL SELECT 'shape differs', split, case_id FROM ({PAIRS_SQL}) s WHERE data IS NOT NULL AND mask IS NOT NULL AND case_id % 11 = 0
         UNION ALL SELECT 'no truth row', split, case_id FROM ({PAIRS_SQL}) q WHERE data IS NOT NULL
           AND case_id NOT IN (SELECT l_orderkey FROM lineitem)
         UNION ALL SELECT 'case count', e.split, -1 FROM ({EXPECTED_SQL}) e LEFT JOIN (
@@ -359,7 +411,8 @@ def x11(spark, d):
           ON e.split = g.split WHERE coalesce(n, 0) <> n_expected""",
 )
 def x11_problems(spark, d):
-    problems = D.catalog_problems(numbered(spark, d), order_lesions(spark, d), expected_counts(spark, d))
+    files = numbered(spark, d)
+    problems = D.catalog_problems(files, order_lesions(spark, d), expected_counts(spark, d), file_shapes(files))
     return problems.fillna(-1, ["case_id"])
 
 
@@ -514,17 +567,35 @@ def s3(spark, d):
     return M.read_split_manifest(spark, path, lines=True)
 
 
-@query("s5_read_detections", "SELECT case_id, count(*) AS n, round(sum(score), 6) AS total FROM slots GROUP BY case_id")
+@query(
+    "s5_read_detections",
+    """SELECT case_id, count(*) AS n, round(sum(score::FLOAT::DOUBLE), 6) AS total, '' AS reason FROM slots GROUP BY case_id
+       UNION ALL SELECT -1, count(*), 0, 'not a JSON record' FROM slots WHERE score < 0.02 HAVING count(*) > 0
+       UNION ALL SELECT -1, count(*), 0, 'name is not <digits>_boxes' FROM slots WHERE score >= 0.98 HAVING count(*) > 0""",
+)
 def s5(spark, d):
-    """Detections as landing records, checked and flattened again."""
-    landed = V.slot_detections(spark, d).select(
-        F.format_string("landing/%04d_boxes.json", F.col("case_id")).alias("path"),
-        F.array("slots").alias("pred_boxes"),
-        F.array("score").alias("pred_scores"),
-    )
-    rows = explode_records(checked_records(landed))
-    return rows.groupBy("case_id").agg(
-        F.count("*").alias("n"), r(F.sum("score")).alias("total")
+    """Packed landing files of a record a line, torn lines and unusable names among them."""
+    path = scratch(spark, "landing")
+
+    def record(name):
+        fields = F.struct(
+            F.format_string(name, F.col("case_id")).alias("name"),
+            F.array("slots").alias("pred_boxes"),
+            F.array("score").alias("pred_scores"),
+        )
+        return F.to_json(fields)
+
+    rows = V.slot_detections(spark, d)
+    torn = F.substring(record("%04d_boxes"), 1, 30)
+    lines = rows.select(record("%04d_boxes").alias("value")).unionByName(
+        rows.where("score < 0.02").select(torn.alias("value"))
+    ).unionByName(rows.where("score >= 0.98").select(record("case%d").alias("value")))
+    lines.write.text(path)
+    found, _, rejects = read_detections(spark, path, packed=True, names="part-*")
+    good = found.groupBy("case_id").agg(F.count("*").alias("n"), r(F.sum("score")).alias("total"))
+    bad = rejects.groupBy("reason").agg(F.count("*").alias("n"))
+    return good.withColumn("reason", F.lit("")).unionByName(
+        bad.select(F.lit(-1).cast("bigint").alias("case_id"), "n", F.lit(0.0).alias("total"), "reason")
     )
 
 
@@ -539,63 +610,168 @@ def s6(spark, d):
     return rows.select("case_id", "det_idx", "split", sources.alias("sources"), "score")
 
 
+def _volume_rows(spark, d):
+    """(name, text): a volume's file for each part and a mask's for every second size."""
+
+    def tuples(vectors):
+        return F.array_join(F.transform(vectors, lambda v: F.concat(F.lit("("), F.array_join(v.cast("array<string>"), ","), F.lit(")"))), " ")
+
+    size = F.when(F.col("p_size") == 13, F.lit("ten x 5")).otherwise(F.array_join(F.col("sizes").cast("array<string>"), " "))
+    header = F.concat_ws(
+        "\n",
+        F.lit("NRRD0004\n# written for a check"),
+        F.concat(F.lit("type: "), F.when(F.col("dtype") == "uint8", "uchar").otherwise(F.col("dtype"))),
+        F.concat(F.lit("dimension: "), F.col("dim").cast("string")),
+        F.concat(F.lit("sizes: "), size),
+        F.concat(F.lit("space directions: "), tuples(F.col("directions"))),
+        F.when(F.col("origin").isNotNull(), F.concat(F.lit("space origin: "), tuples(F.array("origin")))),
+        F.lit("encoding: raw\n\nvoxels"),
+    )
+    parts = V.table(spark, d, "part").select("p_partkey", "p_size")
+    key = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
+    rows = V.headers(spark, d).join(parts, F.col("p_partkey") == key)
+    kinds = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("DATA"), F.lit("MASK"))).otherwise(F.array(F.lit("DATA")))
+    return rows.withColumn("kind", F.explode(kinds)).select(
+        F.format_string("shard%d/%s_%05d.nrrd", F.col("p_partkey") % 7, F.col("kind"), F.col("p_partkey")).alias("name"),
+        header.alias("text"),
+    )
+
+
+def write_named(files, root: str) -> str:
+    """Files (name, text) below ``root``; tasks write them where all executors can read."""
+
+    def write(batches):
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                write_file(f"{root}/{name}", text.encode())
+            yield batch.select(["name"])
+
+    V.spread(files.select("name", "text")).mapInArrow(write, "name STRING").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def volume_tree(spark, d) -> str:
+    return write_named(_volume_rows(spark, d), scratch(spark, "volumes"))
+
+
+@query(
+    "s7_discover_files",
+    """SELECT concat('shard', p_partkey % 7, '/', kind, '_', lpad(CAST(p_partkey AS VARCHAR), 5, '0'), '.nrrd') AS name, kind,
+       p_partkey AS case_id FROM part, (VALUES ('DATA'), ('MASK')) k(kind) WHERE kind = 'DATA' OR p_size % 2 = 0""",
+)
+def s7(spark, d):
+    root = volume_tree(spark, d)
+    name = F.regexp_extract("path", r"(shard\d+/[^/]+)$", 1)
+    return FS.discover_files(spark, root).select(name.alias("name"), "kind", "case_id")
+
+
+@query(
+    "s12_read_headers",
+    """SELECT kind, p_partkey AS case_id, h.dim, CASE WHEN p_size <> 13 THEN h.sizes[1] END AS size_0,
+       CASE WHEN p_size <> 13 THEN h.sizes[3] END AS size_2, len(h.directions) AS n_directions, h.directions[1][1] AS step,
+       h.origin[1] AS origin, h.dtype, CASE WHEN p_size = 13 THEN 'malformed sizes' ELSE '' END AS problem
+       FROM part JOIN headers h ON h.path = concat('DATA_', p_partkey, '.nrrd'), (VALUES ('DATA'), ('MASK')) k(kind)
+       WHERE kind = 'DATA' OR p_size % 2 = 0""",
+)
+def s12(spark, d):
+    """Through the data source of headers, many tasks a folder."""
+    rows = FS.read_volumes(spark, volume_tree(spark, d), partition_bytes=64 << 20)
+    return rows.select(
+        "kind",
+        "case_id",
+        "dim",
+        F.try_element_at("sizes", F.lit(1)).alias("size_0"),
+        F.try_element_at("sizes", F.lit(3)).alias("size_2"),
+        F.when(F.col("directions").isNotNull(), F.size("directions")).cast("bigint").alias("n_directions"),
+        F.try_element_at(F.try_element_at("directions", F.lit(1)), F.lit(1)).alias("step"),
+        F.try_element_at("origin", F.lit(1)).alias("origin"),
+        "dtype",
+        F.coalesce("problem", F.lit("")).alias("problem"),
+    )
+
+
 @query(
     "s8_read_fold_metrics",
     """SELECT CAST(run_id AS INT) AS fold, count(*) AS n, count(*) FILTER (WHERE val = 'nan') AS n_nan,
-       round(sum(CASE WHEN val <> 'nan' THEN CAST(val AS DOUBLE) END), 9) AS total FROM metrics
-       WHERE NOT starts_with(metric, '0_') GROUP BY run_id""",
+       round(sum(CASE WHEN val <> 'nan' THEN CAST(val AS DOUBLE) END), 9) AS total, '' AS reason FROM metrics
+       WHERE NOT starts_with(metric, '0_') AND run_id % 50 <> 7 GROUP BY run_id
+       UNION ALL SELECT DISTINCT CAST(run_id AS INT), 0, 0, 0, 'not a JSON object' FROM metrics WHERE run_id % 50 = 7""",
 )
 def s8(spark, d):
-    """One JSON document per run, parsed as the reader does."""
+    """One JSON file per run, some of them cut off, through the reader."""
     document = F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "val"))))
-    runs = V.metrics(spark, d).groupBy(F.col("run_id").cast("int").alias("fold"))
-    parsed = R.metric_documents(runs.agg(document.alias("value")))
+    runs = V.metrics(spark, d).groupBy(F.col("run_id").cast("int").alias("fold")).agg(document.alias("value"))
+    torn = F.when(F.col("fold") % 50 == 7, F.expr("substring(value, 1, 40)")).otherwise(F.col("value"))
+    name = F.format_string("fold%d/val_results/results_boxes.json", "fold")
+    root = write_named(runs.select(name.alias("name"), torn.alias("text")), scratch(spark, "metrics"))
+    glob = f"{root}/fold*/val_results/results_boxes.json"
     number = Q.is_number(F.col("value"))
-    return parsed.groupBy("fold").agg(
+    good = R.read_fold_metrics(spark, glob).groupBy("fold").agg(
         F.count("*").alias("n"),
         F.count_if(~number).alias("n_nan"),
         F.round(F.sum(F.when(number, F.col("value"))), 9).alias("total"),
     )
+    bad = R.fold_metric_rejects(spark, glob)
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("n", "n_nan")]
+    return good.withColumn("reason", F.lit("")).unionByName(bad.select("fold", *none, F.lit(0.0).alias("total"), "reason"))
+
+
+SWEEP_CHUNK = 2_000
 
 
 @query(
     "s9_read_sweep",
-    """SELECT CAST(user_id % 5 AS INT) AS fold, event_type AS parameter, concat('v', event_id) AS label,
-       CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events""",
+    f"""SELECT CAST(user_id % 5 AS INT) AS fold, event_type AS parameter, concat('v', event_id) AS label,
+       CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events WHERE event_id // {SWEEP_CHUNK} % 5 <> 3
+       UNION ALL SELECT CAST(user_id % 5 AS INT), '', 'not a JSON object', count(DISTINCT (event_type, event_id // {SWEEP_CHUNK}))::DOUBLE
+       FROM events WHERE event_id // {SWEEP_CHUNK} % 5 = 3 GROUP BY ALL""",
 )
 def s9(spark, d):
-    """Sweep documents with printed score dictionaries, bare nan and malformed text."""
+    """Sweep files with printed score dictionaries, bare nan and malformed text; some files are
+    cut off. A parameter's entries are dealt to files of a bounded number of entries."""
+    path = scratch(spark, "sweep")
     scores = """CASE WHEN event_type = 'error' THEN 'not a dictionary' ELSE
         concat("{'FROC_score_IoU_0.10': ", CAST(value AS STRING), ", 'other': nan}") END"""
     entry = F.struct(
-        F.lit("done").alias("state"),
-        F.create_map(F.lit("x"), F.lit("1")).alias("overwrite"),
-        F.expr(scores).alias("scores"),
+        F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("label"),
+        F.struct(
+            F.lit("done").alias("state"),
+            F.create_map(F.lit("x"), F.lit("1")).alias("overwrite"),
+            F.expr(scores).alias("scores"),
+        ).alias("entry"),
     )
-    label = F.concat(F.lit("v"), F.col("event_id").cast("string"))
-    documents = V.table(spark, d, "events").select(
+    keys = [
         F.expr("CAST(user_id % 5 AS INT)").alias("fold"),
         F.col("event_type").alias("parameter"),
-        F.to_json(F.create_map(label, entry)).alias("value"),
+        F.expr(f"event_id DIV {SWEEP_CHUNK}").alias("chunk"),
+    ]
+    text = F.to_json(F.map_from_entries(F.collect_list(entry)))
+    documents = V.table(spark, d, "events").groupBy(*keys).agg(text.alias("value"))
+    torn = F.when(F.col("chunk") % 5 == 3, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    names = ["fold", "parameter", "chunk"]
+    documents.select(*names, torn.alias("value")).repartition(*names).write.partitionBy(*names).text(path)
+    glob, in_path = f"{path}/fold=*/parameter=*/chunk=*/*.txt", r"fold=(\d+)"
+    good = R.sweep_metric(R.read_sweep(spark, glob, in_path, r"parameter=([^/]+)")).drop("ordinal")
+    bad = R.sweep_rejects(spark, glob, in_path).groupBy("fold", F.col("reason").alias("label")).agg(
+        F.count("*").cast("double").alias("value")
     )
-    return R.sweep_metric(R.sweep_documents(documents)).drop("ordinal")
+    return good.unionByName(bad.withColumn("parameter", F.lit("")))
 
 
 @query(
     "s10_read_train_logs",
-    """WITH n AS (SELECT fold, line, 2 * (row_number() OVER (PARTITION BY fold ORDER BY line_no) - 1) AS k FROM log_lines)
-       SELECT fold, CAST(k AS INT) AS line_no, line FROM n UNION ALL SELECT fold, CAST(k + 1 AS INT), 'heartbeat' FROM n""",
+    """WITH n AS (SELECT fold, line, 3 * (row_number() OVER (PARTITION BY fold ORDER BY line_no) - 1) AS k FROM log_lines)
+       SELECT fold, k AS line_no, line FROM n UNION ALL SELECT fold, k + 1, 'heartbeat' FROM n UNION ALL SELECT fold, k + 2, '' FROM n""",
 )
 def s10(spark, d):
-    """A log file per fold, two lines for each event, read back by fold."""
+    """Each fold's log in several parts, three lines for each event (one blank), read back by line."""
     path = scratch(spark, "logs")
     events = V.log_lines(spark, d).select(
-        "fold", "line_no", F.concat("line", F.lit("\nheartbeat")).alias("value")
+        "fold", "line_no", F.concat("line", F.lit("\nheartbeat\n")).alias("value")
     )
-    dealt = events.repartition("fold").sortWithinPartitions("fold", "line_no")
+    dealt = events.repartitionByRange(16, "fold", "line_no").sortWithinPartitions("fold", "line_no")
     dealt.select("fold", "value").write.partitionBy("fold").text(path)
-    lines = R.read_train_logs(spark, f"{path}/fold=*/*.txt", r"fold=(\d+)")
-    return lines.where("line <> ''").select("fold", "line_no", "line")
+    return R.read_train_logs(spark, f"{path}/fold=*/*.txt", r"fold=(\d+)")
 
 
 @query(

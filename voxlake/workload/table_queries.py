@@ -18,7 +18,7 @@ from voxlake.operators.clustering import cluster_boxes, order_candidates
 from voxlake.operators.overlap import iou_join
 from voxlake.schemas import METRICS, NATIVE_SPACING_MM, TARGET_SPACING_MM
 from voxlake.session import ensure_checkpoint_dir
-from voxlake.sources.manifests import file_digest
+from voxlake.sources.manifests import file_digest, manifest_documents
 from voxlake.sources.tables import keep_row
 from voxlake.workload import views as V
 from voxlake.workload.box_queries import (
@@ -137,6 +137,14 @@ FROM ({NUMBERED_SQL}) s
 """
 
 
+def file_shapes(files):
+    """(path, sizes) of catalog files, some masks one slice longer than their volume."""
+    odd = (F.col("kind") == "MASK") & (F.col("case_id") % 11 == 0)
+    third = F.col("case_id") % 5 + odd.cast("bigint")
+    sizes = F.array(F.lit(10).cast("bigint"), F.lit(20).cast("bigint"), third).alias("sizes")
+    return files.select("path", sizes).dropDuplicates(["path"])
+
+
 @query(
     "j5_pair_shapes",
     f"""SELECT split, case_id, CASE WHEN data IS NULL THEN 'extra mask' WHEN mask IS NULL THEN 'missing mask'
@@ -146,10 +154,7 @@ FROM ({NUMBERED_SQL}) s
 )
 def j5_shapes(spark, d):
     files = numbered(spark, d)
-    odd = (F.col("kind") == "MASK") & (F.col("case_id") % 11 == 0)
-    third = F.col("case_id") % 5 + odd.cast("bigint")
-    sizes = F.array(F.lit(10).cast("bigint"), F.lit(20).cast("bigint"), third).alias("sizes")
-    paired = A.pair_volume_mask(files, files.select("path", sizes).dropDuplicates(["path"]))
+    paired = A.pair_volume_mask(files, file_shapes(files))
     return paired.select("split", "case_id", "status")
 
 
@@ -598,6 +603,27 @@ def a8(spark, d):
     return Q.convergence_summary(V.log_lines(spark, d), expected)
 
 
+@query(
+    "a8_loss_arrays",
+    f"""SELECT fold, count(*) FILTER (WHERE kind = 'train') AS n_train, count(*) FILTER (WHERE kind = 'val') AS n_val,
+        sha256(coalesce(string_agg(printf('%.2f', loss), ',' ORDER BY line_no) FILTER (WHERE kind = 'train'), '')) AS train,
+        sha256(coalesce(string_agg(printf('%.2f', loss), ',' ORDER BY line_no) FILTER (WHERE kind = 'val'), '')) AS val
+        FROM ({LOSSES_SQL}) l WHERE loss IS NOT NULL GROUP BY fold""",
+)
+def a8_arrays(spark, d):
+    arrays = Q.loss_arrays(Q.loss_lines(V.log_lines(spark, d)))
+
+    def digest(column):
+        return F.sha2(F.array_join(F.transform(column, lambda x: F.format_string("%.2f", x)), ","), 256)
+
+    names = (("train", "train_loss_per_epoch"), ("val", "val_loss_per_epoch"))
+    return arrays.select(
+        "fold",
+        *[F.size(c).cast("bigint").alias(f"n_{k}") for k, c in names],
+        *[digest(c).alias(k) for k, c in names],
+    )
+
+
 GAP_SQL = """
 SELECT i - 1 AS dim, round(o, 9) AS oof_var, round(e, 9) AS ens_var, round(o / e, 6) AS ratio FROM (
   SELECT i, var_pop(x) FILTER (WHERE split = 'train') AS o, var_pop(x) FILTER (WHERE split = 'val') AS e FROM (
@@ -732,6 +758,19 @@ def a16(spark, d):
     return folds_.split_digests(split_of(spark, d), 500)
 
 
+@query(
+    "a16_manifest_digest",
+    """SELECT dataset, sha256('{"folds":[' || string_agg(ids, ',' ORDER BY fold) || '],"seed":42,"splitter_version":"v1"}') AS sha256
+       FROM (SELECT case_id // 1000 AS dataset, fold, '[' || string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) || ']' AS ids
+         FROM split GROUP BY 1, 2) f GROUP BY dataset""",
+)
+def a16_manifest(spark, d):
+    """The digest that a manifest records of its folds, seed and version, one for each dataset."""
+    datasets = split_of(spark, d).withColumn("dataset", F.expr("case_id DIV 1000"))
+    documents = manifest_documents(datasets, "v1", keys=["dataset"])
+    return documents.select("dataset", F.get_json_object("value", "$.sha256").alias("sha256"))
+
+
 @query(
     "a17_file_digest",
     """SELECT CAST(doc_id % 64 AS INT) AS bucket,
@@ -774,6 +813,16 @@ def a18(spark, d):
     return A.duplicate_case_files(numbered(spark, d))
 
 
+@query(
+    "a18_surplus_files",
+    f"""SELECT n.split, n.kind, n.case_id, n.path FROM ({NUMBERED_SQL}) n JOIN (
+        SELECT split, kind, case_id, min(path) AS first FROM ({NUMBERED_SQL}) m GROUP BY split, kind, case_id) g
+        ON n.split = g.split AND n.kind = g.kind AND n.case_id = g.case_id WHERE n.path > g.first""",
+)
+def a18_surplus(spark, d):
+    return A.surplus_files(numbered(spark, d))
+
+
 EXPECTED_SQL = """
 SELECT CASE WHEN o_orderkey % 10 < 5 THEN 'Train' WHEN o_orderkey % 10 < 7 THEN 'Validation' ELSE 'Test' END AS split,
   count(*) FILTER (WHERE o_orderkey % 10 < 7 OR o_totalprice > 5000) AS n_expected FROM orders GROUP BY 1
@@ -839,6 +888,17 @@ def a22(spark, d):
     )
 
 
+@query(
+    "a22_epoch_rate_cost",
+    """SELECT run_id, round(gpu_hours / 60 * 50 * 5, 6) AS gpu_hours, gpu_hours / 60 * 50 * 5 > 900 AS exceeded FROM runs""",
+)
+def a22_rate(spark, d):
+    """What five folds of fifty epochs cost at each run's measured hours an epoch."""
+    cost = Q.epoch_rate_cost(F.col("gpu_hours") / 60, F.lit(50), trigger=900.0)
+    rows = V.runs(spark, d).select("run_id", cost.alias("c"))
+    return rows.select("run_id", r(F.col("c.gpu_hours")).alias("gpu_hours"), "c.exceeded")
+
+
 @query(
     "a23_embedding_audit",
     """SELECT case_id, n, box_ok, round(norm_min, 6) AS norm_min, round(norm_max, 6) AS norm_max, round(norm_mean, 6) AS norm_mean,
