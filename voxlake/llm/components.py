@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import kept
@@ -13,25 +13,32 @@ from voxlake.llm.common import kept
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (node, root) for every node with an edge; root is in the component.
 
-    In each round every node takes the name of its smallest smaller neighbour, edges get the
-    new names, and loops and repeats go. The rounds end when no edge is left; a node's root is
-    its name after all rounds. Only tables are passed on, each written to the shared folder, so
-    a lost executor costs the round at most. Node groups are never collected.
+    Each round puts all names in a new random order. A node takes the name of its first neighbour
+    that comes before itself, and then the name which that one takes, so that about a third of the
+    names of a path are left: rounds grow with the logarithm of the longest path. Edges get the new
+    names, and loops and repeats go. The rounds end when no edge is left; a node's root is its name
+    after all rounds. Only tables are passed on, each written to the shared folder, so a lost
+    executor costs the round at most. Node groups are never collected. Edges with a null end count
+    for nothing; an empty table gives no rows.
     """
     edges = kept(edges.where("a <> b").distinct(), "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     names: list[DataFrame] = []
     while not edges.isEmpty():
+        def placed(name: str) -> Column:
+            return F.struct(F.xxhash64(F.lit(len(names)), name).alias("h"), F.col(name).alias("name"))
+
         both = edges.union(edges.select("b", "a"))
-        smaller = (
-            both.where("b < a").groupBy(F.col("a").alias("old")).agg(F.min("b").alias("new"))
-        )
-        smaller = kept(smaller, "names")
-        names.append(smaller)
-        edges = kept(_renamed(_renamed(edges, "a", smaller), "b", smaller)
-                     .where("a <> b").distinct(), "edges")
+        first = both.groupBy("a").agg(F.min(placed("b")).alias("first"))
+        first = first.where(F.col("first") < placed("a")).select(F.col("a").alias("old"), F.col("first.name").alias("new"))
+        first = kept(first, "first-names")
+        then = first.select(F.col("old").alias("new"), F.col("new").alias("then"))
+        taken = first.join(then, "new", "left").select("old", F.coalesce("then", "new").alias("new"))
+        taken = kept(taken, "names")
+        names.append(taken)
+        edges = kept(_renamed(_renamed(edges, "a", taken), "b", taken).where("a <> b").distinct(), "edges")
     roots = nodes.withColumn("root", F.col("node"))
-    return reduce(lambda rows, names: _renamed(rows, "root", names), names, roots)
+    return reduce(lambda rows, taken: _renamed(rows, "root", taken), names, roots)
 
 
 def _renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
