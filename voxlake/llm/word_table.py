@@ -1,8 +1,10 @@
 """Byte-level BPE by a table of distinct words, and decoding by a table of pieces.
 
-1. Texts are cut into words natively: before a space that has no white space beside it. There the
-   pre-tokenizer always starts a token, so words can be encoded one by one. A word's key is the
-   word without that space; the key of a text's first word begins with a line feed instead.
+1. Texts are cut into words natively, at places where the pre-tokenizer always starts a token, so
+   that words can be encoded one by one: before a space that has no white space beside it and, in
+   texts where this is plain to see, around single line ends and before full stops and commas. The
+   key of a word that begins with such a space is the rest of it; another key begins with a line
+   feed instead.
 2. The distinct keys are counted, and each is encoded once. Its ids are decoded by a join with the
    table of pieces (id, bytes), put together in the order of their positions.
 3. Ids and pieces come back to the texts by position. The ``hot`` most frequent words are broadcast
@@ -34,22 +36,28 @@ from pyspark.sql import functions as F
 from voxlake.llm.common import kept, short_batches, unused, whole, worker_state
 
 #: words in the broadcast part of the table, and bytes of the longest of them
-HOT = 1 << 20
+HOT = 1 << 21
 HOT_BYTES = 64
 
 # fixed values: code points with the Unicode property White_Space, as a class of Java patterns
 WHITE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# some of the characters that are no white space, and some letters and digits
+PLAIN = r"[!-~\x{A1}-\x{167F}]"
+LETTER = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
 
 ENCODED = "STRUCT<ids: BINARY, decoded: STRING>"
 
 
 def word_keys(text: Column) -> Column:
     """The keys of a text's words, in order; never null."""
-    marked = F.concat(F.lit("\n"), whole(text))
-    # patterns start with the space, as most characters fail there at once
-    plain = r"[!-~\x{A1}-\x{167F}]"
-    careful = F.split(marked, f" (?<=[^{WHITE}] )(?=[^{WHITE}])", -1)
-    return F.when(whole(text).rlike(f" (?:(?<!{plain} )|(?!{plain}))"), careful).otherwise(F.split(marked, " ", -1))
+    text = whole(text)
+    # patterns start with the character they are about, as most characters fail there at once
+    odd = text.rlike(rf"[ \n](?:(?<!{PLAIN}[ \n])|(?!{PLAIN}))|[.,](?<!{LETTER}[.,])")
+    careful = F.split(F.concat(F.lit("\n"), text), f" (?<=[^{WHITE}] )(?=[^{WHITE}])", -1)
+    marked = F.concat(F.lit("\n"), F.replace(text, F.lit("\n"), F.lit(" \n\n \n")))
+    for mark in ".,":
+        marked = F.replace(marked, F.lit(mark), F.lit(f" \n{mark}"))
+    return F.when(odd, careful).otherwise(F.split(marked, " ", -1))
 
 
 def word_of(key: str) -> str:
@@ -122,7 +130,7 @@ def decode(rows: DataFrame, pieces: DataFrame, column: str = "decoded") -> DataF
 
 
 def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, hash, n, ids, decoded) of each distinct key in ``docs`` (text), encoded once.
+    """(word, n, ids, decoded) of each distinct key in ``docs`` (text), encoded once.
 
     The rows of a word never leave the task that counted it: encoding and decoding need no shuffle.
     """
@@ -136,8 +144,9 @@ def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     words = docs.select(F.explode(word_keys(F.col("text"))).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    encoded = counted.select("word", F.xxhash64("word").alias("hash"), "n", encode("word").alias("ids"))
-    return decode(encoded, piece_table(docs.sparkSession, tokenizer))
+    encoded = counted.select("word", "n", encode("word").alias("ids"))
+    # as many rows as the vocabulary has
+    return decode(encoded, F.broadcast(piece_table(docs.sparkSession, tokenizer)))
 
 
 def _hot_words(words: DataFrame, hot: int) -> pa.Table:
@@ -153,25 +162,24 @@ def _hot_words(words: DataFrame, hot: int) -> pa.Table:
         lowest = row["bin"]
     if lowest is None:
         lowest = 1 << 30
-    chosen = binned.where(F.col("bin") >= lowest).select("hash", "n", _packed_ids().alias("ids"), "decoded").toArrow()
+    hashed = F.xxhash64("word").alias("hash")
+    chosen = binned.where(F.col("bin") >= lowest).select(hashed, "n", "ids", "decoded").toArrow()
     order = np.lexsort((chosen["hash"].to_numpy(), -chosen["n"].to_numpy()))
     chosen = chosen.select(["hash", "ids", "decoded"]).take(pa.array(order))
-    return chosen.filter(pa.array(_single(words, chosen["hash"].to_numpy())))
+    return chosen.filter(pa.array(_single(words.select(hashed), chosen["hash"].to_numpy())))
 
 
-def _packed_ids() -> Column:
-    """The array ``ids`` as little-endian 32-bit integers."""
+def _bytes_of(lists: pa.Array) -> pa.Array:
+    """Lists of ids as little-endian 32-bit integers, one after the other."""
+    offsets, values = _flat(lists)
+    ends = pa.py_buffer((offsets * 4).astype(np.int32))
+    data = pa.py_buffer(np.ascontiguousarray(values.to_numpy(zero_copy_only=False), "<i4"))
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, ends, data])
 
-    def bytes_of(i: Column) -> Column:
-        hexed = F.lpad(F.hex(i), 8, "0")
-        return F.unhex(F.concat(*(F.substring(hexed, k, 2) for k in (7, 5, 3, 1))))
 
-    return F.aggregate("ids", F.lit(b""), lambda all_, i: F.concat(all_, bytes_of(i)))
-
-
-def _single(words: DataFrame, hashes: np.ndarray) -> np.ndarray:
-    """Mask of the hashes that one word of the table alone has."""
-    shared = words.sparkSession.sparkContext.broadcast(np.sort(hashes))
+def _single(all_hashes: DataFrame, hashes: np.ndarray) -> np.ndarray:
+    """Mask of the hashes that stand once in ``all_hashes`` (hash), the table of all words."""
+    shared = all_hashes.sparkSession.sparkContext.broadcast(np.sort(hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -181,7 +189,7 @@ def _single(words: DataFrame, hashes: np.ndarray) -> np.ndarray:
             if len(known):
                 yield pa.RecordBatch.from_pydict({"hash": pa.array(mine[known[at] == mine], pa.int64())})
 
-    hits = words.select("hash").mapInArrow(run, "hash BIGINT")
+    hits = all_hashes.mapInArrow(run, "hash BIGINT")
     twice = hits.groupBy("hash").count().where("count > 1").select("hash").toArrow()["hash"].to_numpy()
     return ~np.isin(hashes, twice)
 
@@ -280,9 +288,10 @@ def _filler(shared, version: str):
             index = ranks - 1
             index[holes] = len(table.ids) + np.arange(len(holes))
             index = pa.array(index)
+            rare = (_bytes_of(filled.field("ids")), filled.field("decoded"))
             ids, decoded = (
-                _joined(pa.concat_arrays([hot, filled.field(name).cast(pa.binary())]).take(index), words)
-                for name, hot in (("ids", table.ids), ("decoded", table.decoded))
+                _joined(pa.concat_arrays([hot, new]).take(index), words)
+                for hot, new in zip((table.ids, table.decoded), rare, strict=True)
             )
             yield pa.StructArray.from_arrays(
                 [pa.array(ids, pa.binary()), pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string())],
@@ -300,9 +309,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, hot: int = HOT) -> DataFrame:
     check_tokenizer(tokenizer)
     words = kept(word_table(docs, tokenizer), "words")
     chosen = _hot_words(words, hot)
-    parts = [chosen["ids"].combine_chunks(), chosen["decoded"].combine_chunks()]
-    parts = [p if isinstance(p, pa.Array) else pa.array([], pa.binary()) for p in parts]
-    shared = spark.sparkContext.broadcast((chosen["hash"].to_numpy(), *parts))
+    ids, decoded = (chosen[c].combine_chunks() for c in ("ids", "decoded"))
+    shared = spark.sparkContext.broadcast((chosen["hash"].to_numpy(), _bytes_of(ids), decoded))
     version = uuid.uuid4().hex
     keys = F.transform("words", lambda w: F.xxhash64(w))
     texts = docs.select(*text_key(F.col("text")), word_keys(F.col("text")).alias("words"))
@@ -317,13 +325,12 @@ def encode_texts(docs: DataFrame, tokenizer: str, hot: int = HOT) -> DataFrame:
     )
     open_ = open_.groupBy("t1", "t2").agg(F.first("rare").alias("rare"))
     rare = open_.select("t1", "t2", F.inline("rare"))
-    entries = words.select("word", _packed_ids().alias("ids"), "decoded")
     fillers = (
-        rare.join(entries, "word")
+        rare.join(words.drop("n"), "word")
         .groupBy("t1", "t2")
         .agg(F.array_sort(F.collect_list(F.struct("at", "ids", "decoded"))).alias("fillers"))
     )
-    none = F.array().cast("ARRAY<STRUCT<at: INT, ids: BINARY, decoded: BINARY>>")
+    none = F.array().cast("ARRAY<STRUCT<at: INT, ids: ARRAY<INT>, decoded: BINARY>>")
     filled = packed.join(fillers, ["t1", "t2"], "left").select(
         "t1", "t2", _filler(shared, version)("packed", F.coalesce("fillers", none)).alias("e")
     )
