@@ -290,19 +290,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     short_batches(docs.sparkSession)
     text = whole(F.col("text"))
     texts = docs.select(text.alias("text"), *text_key(text))
-    records = kept(find_contexts(texts, length), "contexts")
-    anchors = records.groupBy("a").count().where("count > 1").select("a")
-    # copies of a text bring equal records: one is left, with their number
-    shared = kept(
-        # grouped by the place, which says all else: the join's partitions stay free to be split
-        records.join(anchors, "a", "left_semi")
+    # copies of a text bring equal records: one is left, with their number, so that an anchor is
+    # not hot for the copies of its text
+    records = kept(
+        find_contexts(texts, length)
         .groupBy("t1", "t2", "lo")
         .agg(
             *(F.first(x).alias(x) for x in ("a", "c", "n", "before")),
             F.count("*").alias("copies"),
         ),
-        "shared",
+        "contexts",
     )
+    anchors = records.groupBy("a").agg(F.sum("copies").alias("places")).where("places > 1").select("a")
+    shared = kept(records.join(anchors, "a", "left_semi"), "shared")
     place = F.struct("t1", "t2", "lo")
     different = kept(
         shared.groupBy("a", "c").agg(
