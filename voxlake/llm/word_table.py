@@ -235,6 +235,8 @@ def unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     """Offsets (from 0) and values of a list array."""
+    if not len(lists):  # without rows the offsets may have no memory behind them
+        return np.zeros(1, np.int32), lists.values.slice(0, 0)
     offsets = np.asarray(lists.offsets)
     return offsets - offsets[0], lists.values.slice(offsets[0], offsets[-1] - offsets[0])
 
