@@ -6,7 +6,8 @@
    key of a word that begins with such a space is the rest of it; another key begins with a line
    feed instead.
 2. The distinct keys are counted, and each is encoded once. Its ids are decoded by a join with the
-   table of pieces (id, bytes), put together in the order of their positions.
+   broadcast table of pieces (id, bytes), put together in the order of their positions. The table of
+   words holds the decoded bytes only where they are not those of the word.
 3. Ids and pieces come back to the texts by position. The ``hot`` most frequent words are broadcast
    (a fixed number of words of at most ``HOT_BYTES`` bytes) and found by their 64-bit hash; a word
    whose hash another word of the table has too is never among them, so this is exact. A text
@@ -30,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import kept, short_batches, unused, whole, worker_state
 
 #: words in the broadcast part of the table, and bytes of the longest of them
-HOT = 1 << 21
+HOT = 1 << 20
 HOT_BYTES = 64
 
 # fixed values: code points with the Unicode property White_Space, as a class of Java patterns
@@ -129,33 +131,61 @@ def decode(rows: DataFrame, pieces: DataFrame, column: str = "decoded") -> DataF
     return found.groupBy(*others).agg(joined.alias(column))
 
 
+def _joined_pieces(ids: pa.ListArray, pieces: dict[str, np.ndarray | pa.Array]) -> pa.Array:
+    """The pieces of each list of ids put together: ids meet the table sorted by id."""
+    offsets, values = _flat(ids)
+    wanted = values.to_numpy()
+    at = np.minimum(np.searchsorted(pieces["id"], wanted), len(pieces["id"]) - 1)
+    lost = pieces["id"][at] != wanted
+    if lost.any():
+        raise ValueError(f"no piece for id {wanted[lost][0]}")
+    found = pieces["piece"].take(pa.array(at))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), b"")
+
+
+def word_bytes(key: Column) -> Column:
+    """The bytes of a key's word."""
+    own = F.when(key.startswith("\n"), F.substring(key, 2, 1 << 30)).otherwise(F.concat(F.lit(" "), key))
+    return own.cast("binary")
+
+
 def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(word, n, ids, decoded) of each distinct key in ``docs`` (text), encoded once.
 
-    The rows of a word never leave the task that counted it: encoding and decoding need no shuffle.
+    ``decoded`` is null where it is the word itself. The rows of a word never leave the task that
+    counted it: encoding and decoding need no shuffle, as the table of pieces is broadcast (as many
+    rows as the vocabulary has).
     """
+    spark = docs.sparkSession
+    table = piece_table(spark, tokenizer).orderBy("id").toArrow()
+    shared = spark.sparkContext.broadcast(
+        {"id": table["id"].to_numpy(), "piece": table["piece"].combine_chunks()})
 
-    @F.arrow_udf("ARRAY<INT>")
+    @F.arrow_udf("STRUCT<ids: ARRAY<INT>, decoded: BINARY>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         library = worker_state("word ids", tokenizer, lambda: _tokenizer(tokenizer))
         for batch in batches:
-            out = library.encode_batch_fast([word_of(k) for k in batch.to_pylist()], add_special_tokens=False)
-            yield pa.array([e.ids for e in out], pa.list_(pa.int32()))
+            words = [word_of(k) for k in batch.to_pylist()]
+            out = library.encode_batch_fast(words, add_special_tokens=False)
+            ids = pa.array([e.ids for e in out], pa.list_(pa.int32()))
+            decoded = _joined_pieces(ids, shared.value)
+            same = pc.equal(decoded, pa.array([w.encode() for w in words], pa.binary()))
+            decoded = pc.if_else(same, pa.scalar(None, pa.binary()), decoded)
+            yield pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
 
     words = docs.select(F.explode(word_keys(F.col("text"))).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    encoded = counted.select("word", "n", encode("word").alias("ids"))
-    # as many rows as the vocabulary has
-    return decode(encoded, F.broadcast(piece_table(docs.sparkSession, tokenizer)))
+    return counted.select("word", "n", encode("word").alias("e")).select("word", "n", "e.ids", "e.decoded")
 
 
-def _hot_words(words: DataFrame, hot: int) -> pa.Table:
-    """(hash, ids, decoded), most frequent first: at most ``hot`` words, all those above some count."""
-    short = words.where(F.octet_length("word") <= HOT_BYTES)
+def _hot_words(words: DataFrame, hot: int) -> tuple[pa.Table, DataFrame]:
+    """(hash, ids, decoded), most frequent first: at most ``hot`` words, all those above some count;
+    and the rows of all other words."""
+    short = F.octet_length("word") <= HOT_BYTES
     # counts in at most some 500 bins
-    binned = short.withColumn("bin", F.floor(F.log2("n") * 8).cast("int"))
+    binned = words.withColumn("bin", F.floor(F.log2("n") * 8).cast("int"))
     left, lowest = hot, None
-    for row in binned.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+    for row in binned.where(short).groupBy("bin").count().orderBy(F.desc("bin")).collect():
         left -= row["count"]
         if left < 0:
             break
@@ -163,10 +193,15 @@ def _hot_words(words: DataFrame, hot: int) -> pa.Table:
     if lowest is None:
         lowest = 1 << 30
     hashed = F.xxhash64("word").alias("hash")
-    chosen = binned.where(F.col("bin") >= lowest).select(hashed, "n", "ids", "decoded").toArrow()
+    frequent = short & (F.col("bin") >= lowest)
+    decoded = F.coalesce("decoded", word_bytes(F.col("word"))).alias("decoded")
+    chosen = binned.where(frequent).select(hashed, "n", "ids", decoded).toArrow()
     order = np.lexsort((chosen["hash"].to_numpy(), -chosen["n"].to_numpy()))
     chosen = chosen.select(["hash", "ids", "decoded"]).take(pa.array(order))
-    return chosen.filter(pa.array(_single(words.select(hashed), chosen["hash"].to_numpy())))
+    single = _single(words.select(hashed), chosen["hash"].to_numpy())
+    # of 64-bit hashes next to none is shared
+    shared = [int(h) for h in np.unique(chosen["hash"].to_numpy()[~single])]
+    return chosen.filter(pa.array(single)), binned.where(~frequent | F.xxhash64("word").isin(shared)).drop("bin")
 
 
 def _bytes_of(lists: pa.Array) -> pa.Array:
@@ -310,7 +345,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, hot: int = HOT) -> DataFrame:
     short_batches(spark)
     check_tokenizer(tokenizer)
     words = kept(word_table(docs, tokenizer), "words")
-    chosen = _hot_words(words, hot)
+    chosen, others = _hot_words(words, hot)
     ids, decoded = (chosen[c].combine_chunks() for c in ("ids", "decoded"))
     shared = spark.sparkContext.broadcast((chosen["hash"].to_numpy(), _bytes_of(ids), decoded))
     version = uuid.uuid4().hex
@@ -328,7 +363,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, hot: int = HOT) -> DataFrame:
     open_ = open_.groupBy("t1", "t2").agg(F.first("rare").alias("rare"))
     rare = open_.select("t1", "t2", F.inline("rare"))
     fillers = (
-        rare.join(words.drop("n"), "word")
+        rare.join(others.drop("n"), "word")
+        .withColumn("decoded", F.coalesce("decoded", word_bytes(F.col("word"))))
         .groupBy("t1", "t2")
         .agg(F.array_sort(F.collect_list(F.struct("at", "ids", "decoded"))).alias("fillers"))
     )
