@@ -290,6 +290,14 @@ def j12(spark, d):
     return placed.select(*KEYS, "tile_idx", r(F.col("distance"), 9).alias("distance"))
 
 
+@query("j12_nearest_tile_lattice", NEAREST_SQL.replace("GROUP BY ALL", "GROUP BY case_id, fold, det_idx"))
+def j12_lattice(spark, d):
+    # every case is searched through its lattice
+    boxes = V.spread(V.slot_detections(spark, d))
+    placed = P.nearest_tile(boxes, V.tiles(spark, d), V.CROP, lattice_from=0)
+    return placed.select(*KEYS, "tile_idx", r(F.col("distance"), 9).alias("distance"))
+
+
 POINTS_SQL = """
 SELECT l_suppkey AS tile_id,
   ((l_orderkey) * 8 + l_linenumber) * 10000000000 + l_partkey * 10000 + CAST(l_quantity AS BIGINT) AS point_id,
