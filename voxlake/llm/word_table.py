@@ -276,26 +276,24 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return offsets - offsets[0], lists.values.slice(offsets[0], offsets[-1] - offsets[0])
 
 
-def _packer(shared, version: str, holes: bool):
-    """Hashes of a text's words to its packed ranks, or to the positions (from 1) of its holes."""
+def _packer(shared, version: str):
+    """Hashes of a text's words to its packed ranks and the positions (from 1) of its holes."""
 
-    @F.arrow_udf("ARRAY<INT>" if holes else "BINARY")
+    @F.arrow_udf("STRUCT<packed: BINARY, holes: ARRAY<INT>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = worker_state("hot words", version, lambda: HotTable(*shared.value))
         for batch in batches:
             offsets, values = _flat(batch)
             ranks = table.ranks(values.to_numpy())
-            if holes:
-                at = np.flatnonzero(ranks == 0)
-                ends = np.searchsorted(at, offsets)
-                owner = np.repeat(offsets[:-1], np.diff(ends))
-                yield pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(at - owner + 1, pa.int32()))
-            else:
-                data, sizes = pack(ranks)
-                ends = np.concatenate([[0], np.cumsum(sizes)])[offsets]
-                yield pa.Array.from_buffers(
-                    pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            data, sizes = pack(ranks)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[offsets]
+            packed = pa.Array.from_buffers(
+                pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            at = np.flatnonzero(ranks == 0)
+            ends = np.searchsorted(at, offsets)
+            owner = np.repeat(offsets[:-1], np.diff(ends))
+            holes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at - owner + 1, pa.int32()))
+            yield pa.StructArray.from_arrays([packed, holes], ["packed", "holes"])
 
     return run
 
@@ -351,26 +349,32 @@ def encode_texts(docs: DataFrame, tokenizer: str, hot: int = HOT) -> DataFrame:
     version = uuid.uuid4().hex
     keys = F.transform("words", lambda w: F.xxhash64(w))
     texts = docs.select(*text_key(F.col("text")), word_keys(F.col("text")).alias("words"))
-    packed = (
-        texts.select("t1", "t2", _packer(shared, version, False)(keys).alias("packed"))
-        .groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+    found = texts.select("t1", "t2", "words", _packer(shared, version)(keys).alias("p"))
+    rare = F.transform("p.holes", lambda h: F.struct(h.alias("at"), F.element_at("words", h).alias("word")))
+    # each text once; both readers of this table take it from the same shuffle
+    once = (
+        found.select("t1", "t2", F.struct("p.packed", rare.alias("rare")).alias("p"))
+        .groupBy("t1", "t2").agg(F.first("p").alias("p"))
     )
-    # the words of the holes, each text once
-    open_ = texts.select("t1", "t2", "words", _packer(shared, version, True)(keys).alias("holes"))
-    open_ = open_.where(F.size("holes") > 0).select(
-        "t1", "t2", F.transform("holes", lambda p: F.struct(p.alias("at"), F.element_at("words", p).alias("word"))).alias("rare")
-    )
-    open_ = open_.groupBy("t1", "t2").agg(F.first("rare").alias("rare"))
-    rare = open_.select("t1", "t2", F.inline("rare"))
     fillers = (
-        rare.join(others.drop("n"), "word")
-        .withColumn("decoded", F.coalesce("decoded", word_bytes(F.col("word"))))
+        once.select("t1", "t2", F.inline("p.rare"))
+        .join(others.drop("n"), "word")
         .groupBy("t1", "t2")
         .agg(F.array_sort(F.collect_list(F.struct("at", "ids", "decoded"))).alias("fillers"))
     )
     none = F.array().cast("ARRAY<STRUCT<at: INT, ids: ARRAY<INT>, decoded: BINARY>>")
-    filled = packed.join(fillers, ["t1", "t2"], "left").select(
-        "t1", "t2", _filler(shared, version)("packed", F.coalesce("fillers", none)).alias("e")
+
+    def filler(new: Column, hole: Column) -> Column:
+        own = F.coalesce(new["decoded"], word_bytes(hole["word"]))
+        return F.struct(new["ids"].alias("ids"), own.alias("decoded"))
+
+    # both lists are in the order of the positions
+    filled = once.join(fillers, ["t1", "t2"], "left").select(
+        "t1",
+        "t2",
+        _filler(shared, version)(
+            F.col("p.packed"), F.zip_with(F.coalesce("fillers", none), F.col("p.rare"), filler)
+        ).alias("e"),
     )
     return filled.select("t1", "t2", "e.ids", "e.decoded")
 
