@@ -7,6 +7,8 @@ integer derivations, so they agree row for row.
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+GRID_ROWS = 1_000_000
+
+
+def spread_grids(df: DataFrame, cells: int) -> DataFrame:
+    """Rows that a grid of ``cells`` each is made of, so that a task makes ``GRID_ROWS`` at most.
+
+    The bytes of the input say nothing of the grids: a file of one split can hold them all.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() * cells // GRID_ROWS)))
+
+
 CASES_SQL = """
 SELECT o_orderkey AS case_id,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'M' ELSE 'B' END AS label
@@ -161,7 +175,7 @@ def _grid(df: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 16 x 20 x 12 image and box mask per supplier."""
     cases_ = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("case_id"))
-    return _grid(cases_, VOXEL_SHAPE).selectExpr(*_split_columns(_VOXEL_COLUMNS))
+    return _grid(spread_grids(cases_, prod(VOXEL_SHAPE)), VOXEL_SHAPE).selectExpr(*_split_columns(_VOXEL_COLUMNS))
 
 
 LOG_SQL = """
@@ -299,7 +313,7 @@ FMAP = (8, 8, 8)
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8 x 8 x 8 one-channel feature grid per supplier."""
     ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile_id"))
-    return _grid(ids, FMAP).selectExpr(
+    return _grid(spread_grids(ids, prod(FMAP)), FMAP).selectExpr(
         "tile_id",
         "d0",
         "d1",
