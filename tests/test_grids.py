@@ -8,6 +8,7 @@ from voxlake.operators import candidates as C
 from voxlake.operators import pooling as P
 from voxlake.operators import voxels as VX
 from voxlake.plans import datasets as D
+from voxlake.workload import views as V
 
 rng = np.random.default_rng(0)
 
@@ -220,3 +221,51 @@ def test_sanity_and_convention(spark):
     first = best.where("rank = 1").first()
     assert (first["perm"], first["exclusive"], first["residual"]) == ("210", False, 0.0)
     assert summary.first()["perm_consistent"] and best.count() == 3
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def generated(spark, value):
+    """A row per voxel of 16 cubes, which Spark takes for 16 rows."""
+    rows = spark.range(16).select(F.col("id").alias("case_id"))
+    for a in ("d0", "d1", "d2"):
+        rows = rows.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return rows.withColumns(value)
+
+
+def test_generated_feature_maps_are_not_broadcast(spark):
+    maps = generated(spark, {"features": F.array(F.col("d1").cast("double"))})
+    points = spark.range(40).selectExpr(
+        "id", "id % 16 AS case_id", "1D AS p_d0", "id % 3 + 0.25D AS p_d1", "2D AS p_d2"
+    )
+    pooled = P.pool_centroid(points, maps, (4, 4, 4), ("id",), ("case_id",))
+    assert "BroadcastHashJoin" not in planned(pooled)
+    got = {r["id"]: r["embedding"][0] for r in pooled.collect()}
+    assert got == {i: i % 3 + 0.25 for i in range(40)}
+
+
+def test_generated_voxels_stay_where_they_are_for_slices(spark):
+    voxels = generated(
+        spark,
+        {"intensity": F.col("d0") * 4 + F.col("d1"), "mask": (F.col("case_id") < 15).cast("int") * (F.col("d0") % 2)},
+    )
+    rows = VX.slice_percentiles(voxels, VX.mask_stats(voxels))
+    assert "BuildLeft" not in planned(rows)
+    got = rows.collect()
+    # the case without foreground has no slice
+    assert {(r["case_id"], r["axis"]) for r in got} == {(c, a) for c in range(15) for a in range(3)}
+    assert {r["n"] for r in got} == {16}
+    slice_0 = [2 * 4 + d1 for d1 in range(4) for _ in range(4)]
+    assert got[0]["p02"] is not None
+    p98 = [r["p98"] for r in got if r["case_id"] == 0 and r["axis"] == 0]
+    assert p98 == pytest.approx([np.percentile(slice_0, 98)])
+
+
+def test_tasks_of_a_grid_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "GRID_ROWS", 10_000)
+    spark.range(60).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    cells = V.voxels(spark, str(tmp_path))
+    assert cells.rdd.getNumPartitions() >= 60 * 3840 // 10_000
+    assert cells.count() == 60 * 3840

@@ -123,11 +123,13 @@ def slice_percentiles(
     """Per (case, axis): percentiles of the slice through the mask's centroid.
 
     The exact percentile keeps a count per distinct intensity (256 for bytes).
+
+    The outer join leaves the voxels where they are: only its right side, a row per case, can be
+    broadcast, whatever size Spark expects of the voxels.
     """
     centroids = stats.where(F.col("foreground") > 0).select("case_id", *[f"c_{a}" for a in AXES])
-    hit = F.array_compact(
-        F.array(*[F.when(F.col(a) == F.col(f"c_{a}"), F.lit(i)) for i, a in enumerate(AXES)])
-    )
+    through = [F.col(a) == F.col(f"c_{a}") for a in AXES]
+    hit = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(through)]))
     wanted = F.array(*[F.lit(float(q)) for q in levels])
     agg = (
         F.percentile_approx("intensity", wanted, 10_000)
@@ -135,7 +137,8 @@ def slice_percentiles(
         else F.percentile("intensity", wanted)
     )
     return (
-        voxels.join(centroids, "case_id")
+        voxels.join(centroids, "case_id", "left")
+        .where(through[0] | through[1] | through[2])
         .select("case_id", "intensity", F.explode(hit).alias("axis"))
         .groupBy("case_id", "axis")
         .agg(agg.alias("_p"), F.count("*").alias("n"))
