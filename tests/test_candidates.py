@@ -166,3 +166,15 @@ def test_candidate_report_and_audit(spark, membership):
     assert all(r["all_ok"] for r in rows)
     zero = C.embedding_audit(audited.withColumn("embedding", F.array(F.lit(0.0), F.lit(0.0))), 2)
     assert not zero.where("nonzero_ok").count()
+
+
+def test_embedding_audit_deals_rows_not_moments(spark):
+    rows = [(i % 3, i, [0.0, 0.0, 1.0, 1.0, 0.0, 1.0], 0.5, [float(i), 1.0]) for i in range(30)]
+    schema = "case_id long, det_idx long, slots array<double>, score double, embedding array<float>"
+    audit = C.embedding_audit(spark.createDataFrame(rows, schema).repartition(8), 2)
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    # no partial aggregate below the exchange by case
+    assert "HashAggregate" not in plan[plan.index("Exchange hashpartitioning(case_id"):]
+    got = {r["case_id"]: r for r in audit.collect()}
+    assert all(r["n"] == 10 and r["all_ok"] for r in got.values())
+    assert got[0]["var_max"] == pytest.approx(sum((3 * k - 13.5) ** 2 for k in range(10)) / 10)

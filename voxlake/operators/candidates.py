@@ -309,14 +309,24 @@ def embedding_audit(detections: DataFrame, dim: int) -> DataFrame:
     """Per case: do shapes, norms, variance, first box and scores look alive.
 
     ``detections(case_id, det_idx, slots, score, embedding)``.
+
+    The moments of a case are six times as wide as a vector, so rows are dealt by case as they
+    are: sums made before that would be shuffled for nearly every row that joins have scattered.
     """
     norm = l2_norm(F.col("embedding"), dim)
     n = F.count("*")
     box = F.col("slots")
     # picking a flag instead of the box array keeps the aggregate on the hash path
-    box_ok = (box[2] >= box[0]) & (box[3] >= box[1]) & (box[5] >= box[4])
+    box_ok = F.col("_box_ok")
     right_size = F.size("embedding") == dim
-    grouped = detections.groupBy("case_id").agg(
+    narrow = detections.select(
+        "case_id",
+        "det_idx",
+        "score",
+        "embedding",
+        ((box[2] >= box[0]) & (box[3] >= box[1]) & (box[5] >= box[4])).alias("_box_ok"),
+    )
+    grouped = narrow.repartition("case_id").groupBy("case_id").agg(
         n.alias("n"),
         F.bool_and(right_size).alias("shape_ok"),
         (F.count("score") == n).alias("scores_ok"),
