@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.operators import clustering, skew
 from voxlake.operators.clustering import cluster_boxes, cluster_members, order_candidates
 from voxlake.operators.overlap import iou_join
 from voxlake.schemas import BOX
@@ -162,3 +164,34 @@ def test_iou_join_blocked_equals_plain(spark, threshold):
         joined = iou_join(left, right, threshold, cell=7, max_group=limit).collect()
         assert len(joined) == len(expected)
         assert {(j["case_id"], j["l"], j["r"]) for j in joined} == expected
+
+
+def test_only_hot_keys_are_repeated(spark):
+    left = spark.range(400).selectExpr("id % 40 AS k", "id", "IF(id % 40 < 2, 16, 1) AS n")
+    right = spark.range(40).selectExpr("id AS k", "id * 10 AS v", "IF(id < 2, 16, 1) AS n")
+    joined = skew.salted_join(left, right, ["k"], ["id"], salts="n")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # the repeats are generated, so that Spark underestimates them
+    assert "BroadcastHashJoin" not in plan
+    got = sorted((r["k"], r["id"], r["v"]) for r in joined.collect())
+    assert got == sorted((i % 40, i, i % 40 * 10) for i in range(400))
+
+
+def test_large_and_small_cases_by_rounds(spark, monkeypatch):
+    made = np.random.default_rng(3)
+    rows = []
+    for case, n in ((1, 90), (2, 7), (3, 30)):
+        for i in range(n):
+            lo = [int(x) for x in made.integers(0, 30, 3)]
+            rows.append((case, 0, i, float(made.random()), (*lo, *(x + 12 for x in lo)), [0]))
+    frame = spark.createDataFrame(
+        rows, f"case_id long, fold int, det_idx long, score double, box {BOX.simpleString()}, source_detectors array<int>"
+    )
+
+    def owners(max_group):
+        members = clustering.cluster_members(frame, 0.3, max_group=max_group)
+        return sorted((r["case_id"], r["det_idx"], r["seed_det_idx"]) for r in members.collect())
+
+    want = owners(2048)
+    monkeypatch.setattr(clustering, "MAX_GROUP", 20)
+    assert owners(1) == want
