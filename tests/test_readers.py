@@ -208,3 +208,21 @@ def test_equal_boxes_keep_their_number(spark, block):
     got = nearest_tile(boxes, tiles, (2, 2, 2), block=block).collect()
     assert sorted((r["case_id"], r["tile_idx"]) for r in got if r["case_id"] == 1) == [(1, 0)] * 3
     assert [r["tile_idx"] for r in got if r["case_id"] == 2] == [None]
+
+
+def test_metric_files_are_listed_by_tasks(spark, tmp_path):
+    for k in range(40):
+        path = tmp_path / f"fold{k}" / "val_results" / "results_boxes.json"
+        path.parent.mkdir(parents=True)
+        path.write_text('{"mAP_IoU_0.10_0.50_0.05_MaxDet_100": "0.5"}' if k % 4 else "")
+    (tmp_path / "fold_notes.txt").write_text("not a folder")
+    (tmp_path / "fold99").mkdir()
+    for glob in (f"{tmp_path}/fold*/val_results/results_boxes.json", f"file:{tmp_path}/fold*/val_*/*.json"):
+        found = R.read_fold_metrics(spark, glob)
+        # a file scan lists all files in the driver
+        assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["fold"] for r in found.collect()) == [k for k in range(40) if k % 4]
+        bad = {r["fold"]: r["reason"] for r in R.fold_metric_rejects(spark, glob).collect()}
+        assert bad == {k: "empty document" for k in range(0, 40, 4)}
+    with pytest.raises(FileNotFoundError):
+        R.read_fold_metrics(spark, f"{tmp_path}/fold*/none/*.json")

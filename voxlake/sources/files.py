@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -125,6 +126,67 @@ def read_headers(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(_read_batches, HEADER)
 
 
+# --- small documents, listed and read by tasks ------------------------------
+
+#: documents of one batch
+BATCH_DOCUMENTS = 64
+
+
+def _matching(segment: str):
+    """Arrow function: folders to the paths in them whose name fits ``segment`` of a glob."""
+    fits = re.compile(fnmatch.translate(segment)).match
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                filesystem, path = fs.FileSystem.from_uri(_uri(folder))
+                if filesystem.get_file_info(path).type != fs.FileType.Directory:
+                    continue
+                infos = filesystem.get_file_info(fs.FileSelector(path))
+                names = sorted(i.base_name for i in infos if fits(i.base_name) and i.base_name[0] not in "._")
+                for at in range(0, len(names), READ_BYTES):
+                    found = [f"{folder}/{n}" for n in names[at : at + READ_BYTES]]
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(found, pa.string())})
+
+    return listed
+
+
+def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        for at in range(0, len(paths), BATCH_DOCUMENTS):
+            rows = []
+            for path in paths[at : at + BATCH_DOCUMENTS]:
+                filesystem, inner = fs.FileSystem.from_uri(_uri(path))
+                if filesystem.get_file_info(inner).type == fs.FileType.File:
+                    with filesystem.open_input_stream(inner) as stream:
+                        rows.append((stream.read().decode("utf-8", "replace"), path))
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["value", "path"])
+
+
+def read_documents(spark: SparkSession, glob: str) -> DataFrame:
+    """(value, path) of the small files that fit ``glob`` (wildcards ``*``, ``?`` and ``[]``), hidden ones left out.
+
+    Tasks list the folders, level by level, and read the files, so the driver holds nothing that
+    grows with their number; a folder's own names are listed by one task. It is an error if no
+    file fits.
+    """
+    segments = _uri(glob).split("/")
+    wild = [bool(re.search(r"[*?\[]", s)) for s in segments]
+    first = wild.index(True) if any(wild) else len(segments)
+    paths = spark.range(1).select(F.lit("/".join(segments[:first])).alias("path"))
+    for segment, is_wild in zip(segments[first:], wild[first:], strict=True):
+        if is_wild:
+            paths = paths.mapInArrow(_matching(segment), "path STRING").repartition("path")
+        else:
+            paths = paths.select(F.concat("path", F.lit(f"/{segment}")).alias("path"))
+    documents = paths.mapInArrow(_read_documents, "value STRING, path STRING")
+    if documents.isEmpty():
+        raise FileNotFoundError(f"no file fits {glob}")
+    return documents
+
+
 # --- a data source of headers -----------------------------------------------
 
 #: what opening a file counts for, in bytes, when files are dealt to tasks

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators.quality import epoch_ordinal, parse_metrics
 from voxlake.schemas import SWEEP_ENTRY
+from voxlake.sources.files import read_documents
 
 FOLD_IN_PATH = r"fold(\d+)"
 PARAMETER_IN_PATH = r"/sweep_([^/.]*)[^/]*$"
@@ -22,6 +23,11 @@ def _whole_files(spark: SparkSession, glob: str, fold_pattern: str) -> DataFrame
     return spark.read.text(glob, wholetext=True).select("value", path.alias("path"), _fold_of(path, fold_pattern))
 
 
+def _metric_files(spark: SparkSession, glob: str, fold_pattern: str) -> DataFrame:
+    """(value, path, fold) of the metric files, of which there is one a run."""
+    return read_documents(spark, glob).select("value", "path", _fold_of(F.col("path"), fold_pattern))
+
+
 def checked_documents(documents: DataFrame, kind: str) -> DataFrame:
     """``documents`` (value, ...) with ``parsed``, a map of ``kind``, and the ``reason`` to skip
     them (NULL: keep). Nothing is left out: a document that is no JSON object has its row here."""
@@ -48,12 +54,12 @@ def read_fold_metrics(
     spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH
 ) -> DataFrame:
     """Metrics of one flat JSON file per fold; see ``fold_metric_rejects`` for damaged ones."""
-    return metric_documents(_whole_files(spark, glob, fold_pattern))
+    return metric_documents(_metric_files(spark, glob, fold_pattern))
 
 
 def fold_metric_rejects(spark: SparkSession, glob: str, fold_pattern: str = FOLD_IN_PATH) -> DataFrame:
     """(path, fold, reason) of the metric files that ``read_fold_metrics`` cannot read."""
-    return rejected(checked_documents(_whole_files(spark, glob, fold_pattern), "string"))
+    return rejected(checked_documents(_metric_files(spark, glob, fold_pattern), "string"))
 
 
 def parse_score_repr(text: Column) -> Column:
