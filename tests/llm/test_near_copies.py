@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxlake.llm import components, jaccard, pieces, secrets
+from voxlake.llm import components, jaccard, pieces, secrets, simhash
 from voxlake.llm.common import scratch
 
 
@@ -49,6 +49,30 @@ def test_a_large_group_comes_together_without_all_pairs(spark, monkeypatch):
     assert all({5_000 + k} in sizes.values() for k in range(200))
 
 
+def test_fingerprints_propose_and_sets_decide(spark, monkeypatch):
+    """The stage compares what fingerprints propose first; wrong or missing proposals change no result."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words, "end"])), (10 * k + 2, " ".join(words[::-1]))]
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id BIGINT, text STRING")
+    compared, proposals = [], []
+    linked, groups_of = jaccard._Verifier.linked, jaccard.copy_groups
+    monkeypatch.setattr(
+        jaccard._Verifier, "linked", lambda self, pairs: (compared.append(pairs.count()), linked(self, pairs))[1])
+    monkeypatch.setattr(
+        simhash, "copy_groups", lambda *args: (proposals.append(args[2].count()), groups_of(*args))[1])
+    want = {i for i, _ in rows if i % 10 != 1} | {None}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
+    # nearly all copies are linked by fingerprints, and nothing is left to compare for these
+    assert proposals == [len(rows) + 1] and compared[0] >= 15 and sum(compared[1:]) <= 20 - compared[0]
+    one = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.lit(1).alias("group"))
+    for groups in (one, one.limit(0), None):
+        sizes = groups_of(docs, 5, groups).groupBy("copies").agg(F.collect_set("doc_id").alias("ids")).collect()
+        assert sorted(len(r.ids) for r in sizes) == [0] + [1] * 20 + [2] * 20
+
+
 def test_copies_of_nothing_and_of_odd_rows(spark):
     long = " ".join(f"v{k}" for k in range(30_000))
     rows = [(1, None, 5), (2, "", 5), (3, "  ", 5), (4, "one two", 5), (4, "one two", 5), (5, "ONE  two", 5),

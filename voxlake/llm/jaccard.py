@@ -4,7 +4,11 @@ Words and shingles are those of ``simhash``; a text's set holds the 64-bit hash
 distinct shingles. Two texts are linked if their sets have a Jaccard similarity of 0.8 or more.
 Texts of equal sets meet in one key first, those without words in a key of their own.
 
-Candidates come from prefixes. All shingles have one order, the rarer in a sample first: if a
+Pairs that others propose (``simhash`` by its fingerprints) are compared first, and what they link
+counts as connected in all that follows. Fingerprints only estimate a similarity, so the pairs that
+they do not propose are sought exactly.
+
+These candidates come from prefixes. All shingles have one order, the rarer in a sample first: if a
 text's set has n shingles, each set similar to it shares one of its first n - ceil(0.8 n) + 1,
 and the positions of the first shared one bound what both can share after it. Any order finds
 all pairs, the sample only keeps frequent shingles out of the prefixes.
@@ -282,8 +286,27 @@ def _pairs(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
     ).distinct()
 
 
-def links(docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
-    """Edges (a, b) between keys that connect all similar ones."""
+def _proposed_keys(marked: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key with the first of its group; a key without a shared shingle is like no other."""
+    texts = marked.select("text_hash", "key").distinct().join(groups, "text_hash")
+    grouped = kept(texts.select("group", "key").distinct().join(sizes.select("key"), "key"), "grouped-keys")
+    first = grouped.groupBy("group").agg(F.min("key").alias("a"))
+    return grouped.join(first, "group").where("a < key").select("a", F.col("key").alias("b")).distinct()
+
+
+def _with_roots(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """``posts`` with the component of each key as ``root``."""
+    roots = kept(components(found), "roots")
+    rows = posts.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    return rows.drop("node")
+
+
+def links(docs: DataFrame, marked: DataFrame, words: int, proposed: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between keys that connect all similar ones.
+
+    ``proposed`` (text_hash, group) names groups of texts; each is compared with the first of its
+    group before any others are.
+    """
     posts = kept(_posts(docs, words, *_frequent(marked)), "shared-posts")
     places = posts.count()
     sizes = posts.groupBy("key").agg(F.first("n").alias("n"))
@@ -291,6 +314,9 @@ def links(docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
     found: DataFrame | None = None
     place = [F.xxhash64("key"), F.col("key")]
     open_ = posts.withColumn("root", F.col("key"))
+    if proposed is not None:
+        found = verifier.linked(kept(_proposed_keys(marked, proposed, sizes), "proposed"))
+        open_ = kept(_with_roots(posts, found), "open-posts")
     while True:
         stars = open_.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(*place)))
         stars = kept(stars.where(F.col("rank") <= STARS), "stars")
@@ -298,9 +324,7 @@ def links(docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
         found = new if found is None else found.unionByName(new)
         # stars are done with their lists, and so are lists of one component
         rest = open_.join(stars.select("s", "key"), ["s", "key"], "left_anti").drop("root")
-        roots = kept(components(found), "roots")
-        rest = rest.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-        rest = kept(rest.drop("node"), "open-posts")
+        rest = kept(_with_roots(rest, found), "open-posts")
         counts = rest.groupBy("s", "root").agg(F.count("*").cast("double").alias("c"))
         lists = counts.groupBy("s").agg(
             ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
@@ -315,11 +339,14 @@ def links(docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
             return found.unionByName(verifier.linked(last))
 
 
-def copy_groups(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id, text_hash and the name of the group, a row each."""
+def copy_groups(docs: DataFrame, words: int = 5, proposed: DataFrame | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) to doc_id, text_hash and the name of the group, a row each.
+
+    ``proposed`` (text_hash, group) names groups of texts that are likely to be copies.
+    """
     short_batches(docs.sparkSession)
     marked = kept(_marked(docs, words), "shingle-keys")
-    roots = components(links(docs, marked, words))
+    roots = components(links(docs, marked, words, proposed))
     rows = marked.select("doc_id", "text_hash", "key")
     return rows.join(roots, F.col("key") == F.col("node"), "left").select(
         "doc_id", "text_hash", F.coalesce("root", "key").alias("copies")
