@@ -98,6 +98,24 @@ def test_packed_records(spark, tmp_path):
 # headers ---------------------------------------------------------------------------------
 
 
+def test_many_headers_are_listed_by_tasks_and_read_by_few(spark, tmp_path, monkeypatch):
+    """Tasks do not number as the files, and the driver's planner is not asked for names."""
+    for k in range(1_500):
+        (tmp_path / f"s{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"s{k % 3}" / f"DATA_{k}.nrrd").write_bytes(header())
+    monkeypatch.setattr(FS.VolumeReader, "partitions", None)
+    rows = FS.read_volumes(spark, str(tmp_path), partition_bytes=2 << 20)
+    assert rows.rdd.getNumPartitions() <= FS.MANY_TASKS
+    assert sorted(r.case_id for r in rows.select("case_id").collect()) == list(range(1_500))
+    # the data source lists in its planner and gives the same rows
+    monkeypatch.undo()
+    spark.dataSource.register(FS.VolumeSource)
+    source = spark.read.format("volume_headers").load(str(tmp_path))
+    assert source.exceptAll(rows).isEmpty() and rows.exceptAll(source).isEmpty()
+    assert FS.task_count(10_000_000, 10_000_000 << 20, 64 << 20) == 1_221
+    assert FS.task_count(5, 5 << 20, 2 << 20) == 3 and FS.task_count(0, 0, 1) == 1
+
+
 def test_header_source(spark, tmp_path):
     files = {
         "a/DATA_007.nrrd": header(), "a/b/MASK_7.nrrd": header(kind="float", directions=None),

@@ -6,6 +6,7 @@ import fnmatch
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -192,6 +193,8 @@ def read_documents(spark: SparkSession, glob: str) -> DataFrame:
 #: what opening a file counts for, in bytes, when files are dealt to tasks
 OPEN_BYTES = 1 << 20
 PARTITION_BYTES = 128 << 20
+# beyond so many tasks each takes up to so many files: a small task costs more than its files
+MANY_TASKS, TASK_FILES = 512, 8_192
 BATCH_FILES = 256
 VOLUME_NAME = re.compile(r"^(DATA|MASK)_(\d+)\.nrrd$")
 
@@ -206,6 +209,66 @@ VOLUME = T.StructType(
 )
 
 
+LISTED = T.StructType(VOLUME.fields[:4])
+
+
+def _cost(length: int) -> int:
+    return min(length, READ_BYTES) + OPEN_BYTES
+
+
+def task_count(files: int, cost: int, partition_bytes: int) -> int:
+    """Tasks for ``files`` that cost so many bytes in all."""
+    by_bytes = -(-cost // partition_bytes)
+    return max(1, min(by_bytes, max(MANY_TASKS, -(-files // TASK_FILES))))
+
+
+def _volumes_in(root: str, recursive: bool) -> Iterator[tuple[str, int, str | None, int | None]]:
+    """(path, length, kind, case number) of the volumes in a folder; its folders come without a kind if not ``recursive``."""
+    filesystem, inner = fs.FileSystem.from_uri(_uri(root))
+    for info in filesystem.get_file_info(fs.FileSelector(inner, recursive=recursive)):
+        # the same scheme as the root's
+        path = root.rstrip("/") + info.path[len(inner.rstrip("/")) :]
+        if info.type == fs.FileType.Directory:
+            if not recursive:
+                yield path, 0, None, None
+        elif info.type == fs.FileType.File and (named := VOLUME_NAME.match(info.base_name)):
+            yield path, info.size, named[1], int(named[2])
+
+
+def _listing(recursive: bool):
+    """Arrow function: folders (path) to the volumes in them."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(LISTED)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = _volumes_in(folder, recursive)
+                while some := list(islice(rows, READ_BYTES)):
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return listed
+
+
+def _header_rows(files: list[tuple[str, int, str, int]]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(VOLUME)
+    for at in range(0, len(files), BATCH_FILES):
+        rows = []
+        for path, length, kind, case_id in files[at : at + BATCH_FILES]:
+            row = {"path": path, "length": length, "kind": kind, "case_id": case_id}
+            try:
+                row |= parse_header(_leading_text(path))
+            except OSError as error:
+                row["problem"] = f"not readable: {type(error).__name__}"
+            rows.append(row)
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _read_volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _header_rows(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+
+
 @dataclass
 class FileBundle(InputPartition):
     """Files that one task reads: path, length, kind and case number of each."""
@@ -221,35 +284,12 @@ class VolumeReader(DataSourceReader):
         self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
 
     def partitions(self) -> list[FileBundle]:
-        filesystem, root = fs.FileSystem.from_uri(_uri(self.root))
-        bundles: list[FileBundle] = []
-        room = 0
-        for info in filesystem.get_file_info(fs.FileSelector(root, recursive=True)):
-            named = VOLUME_NAME.match(info.base_name)
-            if info.type != fs.FileType.File or named is None:
-                continue
-            cost = min(info.size, READ_BYTES) + OPEN_BYTES
-            if room < cost:
-                bundles.append(FileBundle([]))
-                room = self.bytes
-            room -= cost
-            # the same scheme as the root's
-            path = self.root.rstrip("/") + info.path[len(root.rstrip("/")) :]
-            bundles[-1].files.append((path, info.size, named[1], int(named[2])))
-        return bundles or [FileBundle([])]
+        files = list(_volumes_in(self.root, recursive=True))
+        count = task_count(len(files), sum(_cost(f[1]) for f in files), self.bytes)
+        return [FileBundle(files[k::count]) for k in range(count)]
 
     def read(self, partition: FileBundle) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(VOLUME)
-        for at in range(0, len(partition.files), BATCH_FILES):
-            rows = []
-            for path, length, kind, case_id in partition.files[at : at + BATCH_FILES]:
-                row = {"path": path, "length": length, "kind": kind, "case_id": case_id}
-                try:
-                    row |= parse_header(_leading_text(path))
-                except OSError as error:
-                    row["problem"] = f"not readable: {type(error).__name__}"
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield from _header_rows(partition.files)
 
 
 class VolumeSource(DataSource):
@@ -272,6 +312,15 @@ class VolumeSource(DataSource):
 
 
 def read_volumes(spark: SparkSession, root: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """The rows of ``VolumeSource`` below ``root``."""
-    spark.dataSource.register(VolumeSource)
-    return spark.read.format("volume_headers").option("partitionBytes", str(partition_bytes)).load(root)
+    """The rows of ``VolumeSource`` below ``root``, listed by tasks: the driver holds no names.
+
+    The root's own names are listed by one task, and each folder in it, with all below, by another.
+    """
+    top = spark.range(1).select(F.lit(root).alias("path")).mapInArrow(_listing(False), LISTED)
+    folders = top.where("kind IS NULL").select("path")
+    cores = spark.sparkContext.defaultParallelism
+    inner = folders.repartition(cores, "path").mapInArrow(_listing(True), LISTED)
+    files = top.where("kind IS NOT NULL").unionByName(inner)
+    cost = F.least("length", F.lit(READ_BYTES)) + F.lit(OPEN_BYTES)
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum(cost), F.lit(0))).first()
+    return files.repartition(task_count(n, total, partition_bytes)).mapInArrow(_read_volumes, VOLUME)
