@@ -134,3 +134,12 @@ def test_roles_round_trip_and_faithfulness(spark, split, tmp_path):
 def test_case_scope(spark, split):
     sizes = {r["split"]: r["count"] for r in folds_.case_scope(spark, split).groupBy("split").count().collect()}
     assert sizes == folds_.expected_scope_sizes()
+
+
+def test_set_diff_is_one_aggregate_and_takes_nulls_as_equal(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "case_id BIGINT, role STRING")
+    right = spark.createDataFrame([(2, "b"), (3, None), (None, "c")], "case_id BIGINT, role STRING")
+    found = folds_.set_diff(left, right, ["case_id", "role"])
+    assert sorted(map(tuple, found.collect())) == [(1, "a", "left"), (3, None, "right")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

@@ -136,13 +136,16 @@ def partition_check(split: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def set_diff(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Symmetric difference of two key sets; ``side`` says which one holds the key."""
-    a = left.select(*on).distinct().withColumn("_l", F.lit(True))
-    b = right.select(*on).distinct().withColumn("_r", F.lit(True))
+    """Symmetric difference of two key sets; ``side`` says which one holds the key. Nulls are equal, as in EXCEPT.
+
+    One aggregate of both sides: a task holds each key once and sorts nothing.
+    """
+    sides = left.select(*on, F.lit(1).alias("_side")).unionByName(right.select(*on, F.lit(2).alias("_side")))
     return (
-        a.join(b, list(on), "full_outer")
-        .where(F.col("_l").isNull() | F.col("_r").isNull())
-        .select(*on, F.when(F.col("_r").isNull(), "left").otherwise("right").alias("side"))
+        sides.groupBy(*on)
+        .agg(F.bit_or("_side").alias("_sides"))
+        .where("_sides <> 3")
+        .select(*on, F.when(F.col("_sides") == 1, "left").otherwise("right").alias("side"))
     )
 
 
