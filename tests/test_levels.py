@@ -115,3 +115,9 @@ def test_a_side_without_the_case(spark):
     left, right = sides(spark, mixed_rows(1, 30, seed=2))
     assert iou_join(left, right.where("case_id = 7"), 0.1, max_group=1).count() == 0
     assert iou_join(left.limit(0), right, 0.5, max_group=1).count() == 0
+
+
+def test_without_hot_cases_only_the_sides_are_shuffled(spark):
+    left, right = sides(spark, mixed_rows(2, 20, seed=8))
+    plan = iou_join(left, right, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "_level" not in plan and "_h" not in plan

@@ -42,6 +42,8 @@ def iou_join(
     no duplicates need removing. The rows of a hot case are dealt into up to ``MOST_BLOCKS`` blocks
     on either side by a hash of the row, and each block meets each block of the other side, so that
     the pairs of one hot cell are the work of many tasks.
+    Where no case is hot, which one count of both sides tells, the sides are joined on the case alone
+    and nothing but their own columns is shuffled.
     Column names other than the case must differ between the sides.
     """
     if threshold < 0:
@@ -57,6 +59,11 @@ def iou_join(
     blocked = sizes[0].join(sizes[1], case).where(pairs > 1).select(
         case, F.least(F.lit(MOST_BLOCKS), F.ceil(F.sqrt(pairs))).cast("int").alias("_parts"), "_tl", "_tr"
     )
+    if blocked.isEmpty():
+        a, b = F.col(left_box), F.col(right_box)
+        inter = B.intersection_volume(a, b)
+        iou = inter / (B.box_volume(a) + B.box_volume(b) - inter)
+        return left.join(right, case).where(iou > threshold).withColumn("iou", iou)
     sides = []
     for df, box, volume, own, dealt, met in (
         (left, left_box, "_vl", "_ol", "_i", "_j"), (right, right_box, "_vr", "_or", "_j", "_i")
