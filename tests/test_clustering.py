@@ -195,3 +195,18 @@ def test_large_and_small_cases_by_rounds(spark, monkeypatch):
     want = owners(2048)
     monkeypatch.setattr(clustering, "MAX_GROUP", 20)
     assert owners(1) == want
+
+
+def test_vectors_joined_to_members_give_the_same_clusters(spark):
+    """Named embeddings, one of them missing and one there twice, next to proposals that hold them."""
+    rows = [(k % 3, k % 5, k, (k * 7 % 8) / 8, k % 4, k % 9) for k in range(90)]
+    flat = spark.createDataFrame(rows, "case_id BIGINT, fold INT, det_idx BIGINT, score DOUBLE, at BIGINT, vec_id BIGINT")
+    box = "named_struct('min_d0', at, 'min_d1', 0L, 'min_d2', 0L, 'max_d0', at + 5, 'max_d1', 5L, 'max_d2', 5L) AS box"
+    named = flat.selectExpr("case_id", "fold", "det_idx", "score", box, "array(fold) AS source_detectors", "vec_id")
+    known = [(v, [float(v), 1.0]) for v in (*range(8), 3)]
+    vectors = spark.createDataFrame(known, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    want = cluster_boxes(named.join(vectors, "vec_id"), 0.5, 2, max_source=4)
+    for limit in (2048, 1):
+        got = cluster_boxes(named, 0.5, 2, max_group=limit, max_source=4, vectors=vectors)
+        assert got.columns == want.columns
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
