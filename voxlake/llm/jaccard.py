@@ -15,14 +15,16 @@ all pairs, the sample only keeps frequent shingles out of the prefixes.
 
 The texts that share a prefix shingle are its list. Not all pairs of a list are looked at:
 
-1. The ``STARS`` first texts of each list (in one random order of all texts) are compared with
-   every other one of it. Lists of up to ``STARS`` + 1 texts are done then.
+1. ``STARS`` texts of each list are compared with every other one of it: those that have the fewest
+   rarer shingles, as what others are edited from has none of theirs. Lists of up to ``STARS`` + 1 texts
+   are done then. Later stars are the first ones in one random order of all texts.
 2. Links make components. Texts of one component need no comparison, and what was a star is done
-   with its list. If the pairs of different components that are left in the longer lists are still
-   more than ``SPARSE`` times all places in lists, further stars follow. A group of near-copies comes
-   together in a few rounds, so pairs grow with the texts, not with their square.
-3. The pairs that are left are all compared: no pair at 0.8 is missed but for those whose texts
-   are connected already.
+   with its list. The fewer places are left, the more stars a round has of a list. A group of
+   near-copies comes together in a few rounds, so pairs grow with the texts, not with their square.
+3. Sizes and positions rule out most pairs of a list whose texts only share a passage. These stars are a
+   random part of a list, so what they leave of their pairs tells what all others will. Once this is
+   no more than ``SPARSE`` times all places in lists, the pairs that are left are all compared, in
+   bands of sizes: no pair at 0.8 is missed but for those whose texts are connected already.
 
 A comparison has two steps: bitmaps of about a bit a shingle give each pair a lower bound of the
 shingles that only one text has, and pairs that differ by too many end here; the others are compared
@@ -43,17 +45,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import kept, short_batches, whole
+from voxlake.llm.common import TASK_ROWS, in_few, kept, short_batches, whole
 from voxlake.llm.components import components
 
 #: one of so many keys is in the sample that tells frequent shingles
 SAMPLE = 16
 FREQUENT = 1 << 19
 TILE = 512
-#: texts of a list that are compared with all others in a round
+#: texts of a list that are compared with all others in a round; more, if less than half of all places
+#: in lists are left, so that a round makes at most ``STARS`` pairs for each of all places
 STARS = 4
 #: pairs for each place of a text in a list that may be left to the last step
-SPARSE = 2
+SPARSE = 1
+#: similar sets lie in one band of sizes or in two that follow one another: their sizes differ by a quarter at most
+BAND = 1.26
+#: rows with a set or a bitmap that a task gets at least, if there are as many
+TASK_SETS = TASK_ROWS // 16
 #: keys that a task remembers so as not to repeat a copy's shingles
 SEEN = 1 << 17
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -187,9 +194,8 @@ def _posts(docs: DataFrame, words: int, frequent: np.ndarray, counts: np.ndarray
     return posts.join(shared.select("s"), "s", "left_semi").distinct()
 
 
-def _sets(docs: DataFrame, marked: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """key and its set, of those in ``keys``; one text of each is read again."""
-    need = marked.groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(keys, "key", "left_semi")
+def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """key and its set, of those in ``need`` (key, text_hash); one text of each is read again."""
     rows = docs.select(F.xxhash64(whole(F.col("text"))).alias("text_hash"), whole(F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +257,13 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.selectExpr("explode(array(a, b)) AS key").distinct()
 
 
-def _in_tiles(pairs: DataFrame, values: DataFrame, count: int, compare) -> DataFrame:
-    """``compare`` of the pairs of each tile and of the rows of ``values`` that they name."""
+def _in_tiles(pairs: DataFrame, many: int, values: DataFrame, count: int, compare) -> DataFrame:
+    """``compare`` of the ``many`` pairs, tile by tile, and of the rows of ``values`` that they name."""
     blocks = max(1, -(-count // TILE))
     a, b = (F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int") for c in "ab")
     tiled = pairs.select("a", "b", F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
-    ends = tiled.selectExpr("i AS p", "j AS q", "explode(array(a, b)) AS key").distinct()
-    used = ends.join(values, "key").groupBy("p", "q")
+    ends = in_few(tiled.selectExpr("i AS p", "j AS q", "explode(array(a, b)) AS key").distinct(), 2 * many)
+    used = in_few(ends.join(values, "key"), 2 * many, TASK_SETS).groupBy("p", "q")
     return tiled.groupBy("i", "j").cogroup(used).applyInArrow(compare, "a BIGINT, b BIGINT")
 
 
@@ -265,33 +271,58 @@ class _Verifier:
     """Compares pairs (a, b) of keys in two steps; texts of keys are read again where needed."""
 
     def __init__(self, docs: DataFrame, marked: DataFrame, sizes: DataFrame, words: int) -> None:
-        self.docs, self.marked, self.words = docs, marked, words
-        self.maps = marked.groupBy("key").agg(F.first("bits").alias("bits")).join(sizes, "key")
+        self.docs, self.words = docs, words
+        first = marked.groupBy("key").agg(F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash"))
+        self.maps = kept(in_few(first.join(sizes, "key"), marked.count(), TASK_SETS), "maps")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        keys = kept(_ends(pairs), "keys")
-        close = kept(_in_tiles(pairs, self.maps, keys.count(), _close), "close-pairs")
-        keys = kept(_ends(close), "keys")
-        sets = kept(_sets(self.docs, self.marked, keys, self.words), "sets")
-        return kept(_in_tiles(close, sets, keys.count(), _compare), "links")
+        many = pairs.count()
+        keys = kept(in_few(_ends(pairs), 2 * many), "keys")
+        close = kept(in_few(_in_tiles(pairs, many, self.maps.drop("text_hash"), keys.count(), _close), many, TASK_SETS), "close-pairs")
+        many = close.count()
+        # written first, as a small table of hashes is broadcast then and the texts stay where they are
+        need = self.maps.select("key", "text_hash").join(in_few(_ends(close), 2 * many), "key", "left_semi")
+        need = kept(in_few(need, 2 * many), "needed")
+        ends = need.count()
+        sets = kept(in_few(_sets(self.docs, need, self.words), ends, TASK_SETS), "sets")
+        return kept(in_few(_in_tiles(close, many, sets, ends, _compare), many, TASK_SETS), "links")
 
 
 def _pairs(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
-    """Distinct pairs of keys of ``x`` and ``y`` (posts) in one list whose sets may be similar."""
+    """Pairs (a, b) of keys of ``x`` and ``y`` (posts) in one list whose sets may be similar, and how often."""
     # what both sets can still share from these positions on must be enough
     enough = "9L * least(x.n - x.at, y.n - y.at) >= 4L * (x.n + y.n)"
     joined = x.alias("x").join(y.alias("y"), F.expr(f"x.s = y.s AND x.key <> y.key AND {condition}"))
-    return joined.where(enough).select(
-        F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")
-    ).distinct()
+    ends = F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")
+    return joined.where(enough).groupBy(*ends).agg(F.count("*").alias("times"))
+
+
+def _last_pairs(open_: DataFrame) -> DataFrame:
+    """All pairs of different components that are left in lists; each meets in one band of its list."""
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    own = open_.withColumn("band", band)
+    near = own.withColumn("band", F.explode(F.expr("sequence(band - 1, band + 1)")))
+    return _pairs(own, near, "x.band = y.band AND x.key < y.key AND x.root <> y.root")
+
+
+def _tried(counts: DataFrame, stars: DataFrame) -> float:
+    """How many pairs of different components ``stars`` make with their lists, of ``counts`` (s, root, c)."""
+    own = stars.groupBy("s", "root").agg(F.count("*").cast("double").alias("k"))
+    rows = counts.join(own, ["s", "root"], "left").fillna(0.0, ["k"])
+    lists = rows.groupBy("s").agg((F.sum("k") * F.sum("c") - F.sum(F.col("k") * F.col("c"))).alias("pairs"))
+    return lists.where("pairs > 0").agg(F.sum("pairs")).first()[0] or 1.0
 
 
 def _proposed_keys(marked: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (a, b) of each key with the first of its group; a key without a shared shingle is like no other."""
     texts = marked.select("text_hash", "key").distinct().join(groups, "text_hash")
-    grouped = kept(texts.select("group", "key").distinct().join(sizes.select("key"), "key"), "grouped-keys")
+    many = marked.count()
+    texts = in_few(texts.select("group", "key"), many).distinct()
+    grouped = kept(in_few(texts, many).join(sizes.select("key"), "key"), "grouped-keys")
+    many = grouped.count()
     first = grouped.groupBy("group").agg(F.min("key").alias("a"))
-    return grouped.join(first, "group").where("a < key").select("a", F.col("key").alias("b")).distinct()
+    pairs = grouped.join(first, "group").where("a < key").select("a", F.col("key").alias("b"))
+    return in_few(in_few(pairs, many).distinct(), many)
 
 
 def _with_roots(posts: DataFrame, found: DataFrame) -> DataFrame:
@@ -312,31 +343,36 @@ def links(docs: DataFrame, marked: DataFrame, words: int, proposed: DataFrame |
     sizes = posts.groupBy("key").agg(F.first("n").alias("n"))
     verifier = _Verifier(docs, marked, sizes, words)
     found: DataFrame | None = None
-    place = [F.xxhash64("key"), F.col("key")]
-    open_ = posts.withColumn("root", F.col("key"))
+    place, first = [F.xxhash64("key"), F.col("key")], [F.col("at")]
+    open_, many, counts = posts.withColumn("root", F.col("key")), STARS, None
     if proposed is not None:
         found = verifier.linked(kept(_proposed_keys(marked, proposed, sizes), "proposed"))
-        open_ = kept(_with_roots(posts, found), "open-posts")
+        open_ = kept(in_few(_with_roots(posts, found), places), "open-posts")
     while True:
-        stars = open_.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(*place)))
-        stars = kept(stars.where(F.col("rank") <= STARS), "stars")
-        new = verifier.linked(kept(_pairs(open_, stars, "x.root <> y.root"), "pairs"))
+        stars = open_.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(*first, *place)))
+        stars = kept(stars.where(F.col("rank") <= many), "stars")
+        pairs = kept(_pairs(open_, stars, "x.root <> y.root"), "pairs")
+        # the share of the stars' pairs that sizes and positions allow
+        share = 1.0 if counts is None else (pairs.agg(F.sum("times")).first()[0] or 0) / _tried(counts, stars)
+        new = verifier.linked(pairs)
         found = new if found is None else found.unionByName(new)
         # stars are done with their lists, and so are lists of one component
         rest = open_.join(stars.select("s", "key"), ["s", "key"], "left_anti").drop("root")
-        rest = kept(_with_roots(rest, found), "open-posts")
+        rest = kept(in_few(_with_roots(in_few(rest, places), found), places), "open-posts")
         counts = rest.groupBy("s", "root").agg(F.count("*").cast("double").alias("c"))
+        counts = kept(in_few(counts, places), "counts")
         lists = counts.groupBy("s").agg(
             ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
         ).where("pairs > 0")
-        lists = kept(lists, "lists")
+        lists = kept(in_few(lists, places), "lists")
         left = lists.agg(F.sum("pairs")).first()[0]
         if not left:
             return found
-        open_ = kept(rest.join(lists.select("s"), "s", "left_semi"), "open-posts")
-        if left <= SPARSE * places:
-            last = kept(_pairs(open_, open_, "x.key < y.key AND x.root <> y.root"), "pairs")
+        open_ = kept(in_few(rest.join(lists.select("s"), "s", "left_semi"), places), "open-posts")
+        if left * share <= SPARSE * places:
+            last = kept(_last_pairs(open_), "pairs")
             return found.unionByName(verifier.linked(last))
+        many, first = max(STARS, STARS * places // open_.count()), []
 
 
 def copy_groups(docs: DataFrame, words: int = 5, proposed: DataFrame | None = None) -> DataFrame:
