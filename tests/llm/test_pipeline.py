@@ -8,7 +8,7 @@ from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline
 from voxlake.llm import toxicity
-from voxlake.llm.common import kept, table
+from voxlake.llm.common import drop_state, kept, table, worker_state
 
 SF = "/root/testdata/sf0.01"
 
@@ -97,3 +97,12 @@ def test_near_copies_from_0_8_on_go_and_no_others(spark):
 def test_pipeline_query_is_the_stages_together(spark):
     out = corpus_pipeline.queries()["pipeline"](spark, "/root/testdata/sf0.001")
     assert out.select(F.min(F.size("ids") == F.col("n_tokens")).alias("ok")).first().ok
+
+
+def test_a_text_is_scanned_once_and_stages_leave_no_state(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    cut = corpus_pipeline.cut_benchmark(spark, docs, "/root/testdata/sf0.001")
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    worker_state("test", 1, lambda: "large")
+    drop_state()
+    assert worker_state("test", 1, lambda: "new") == "new"
