@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_clustering import brute_force, iou, proposals
+from voxlake.functions import boxes as B
 from voxlake.operators.clustering import cluster_members
 from voxlake.operators.levels import CELL, cell_rows, level_of, level_range, levels_apart
 from voxlake.operators.overlap import iou_join
@@ -121,3 +122,19 @@ def test_without_hot_cases_only_the_sides_are_shuffled(spark):
     left, right = sides(spark, mixed_rows(2, 20, seed=8))
     plan = iou_join(left, right, 0.3)._jdf.queryExecution().executedPlan().toString()
     assert "_level" not in plan and "_h" not in plan
+
+
+@pytest.mark.parametrize("max_group", [3, 4096])
+def test_a_condition_comes_before_the_boxes_and_thresholds_stay_strict(spark, max_group):
+    # boxes of one edge beside each other: many IoUs are exactly 1/3 or 1/2
+    rows = spark.range(12).selectExpr("id", "explode(array(1L, 3L, 1000000L)) AS k")
+    rows = rows.selectExpr(
+        "1 AS case_id", "id * 10 + k % 7 AS n",
+        "named_struct('min_d0', id, 'min_d1', 0L, 'min_d2', 0L, 'max_d0', id + 5, 'max_d1', k, 'max_d2', k) AS box")
+    left = rows.selectExpr("case_id", "n AS a", "box AS left_box")
+    right = rows.selectExpr("case_id", "n AS b", "box AS right_box")
+    for t in (0.0, 1 / 3, 0.5):
+        got = iou_join(left, right, t, max_group=max_group, only=F.col("a") < F.col("b"))
+        plain = left.join(right, "case_id").where("a < b").withColumn("iou", B.iou_3d(F.col("left_box"), F.col("right_box")))
+        want = sorted((r.a, r.b, r.iou) for r in plain.where(F.col("iou") > t).collect())
+        assert want and sorted((r.a, r.b, r.iou) for r in got.collect()) == want

@@ -21,6 +21,19 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, maps)])
 
 
+def _overlap(a: Column, b: Column, volumes: Column, threshold: float) -> tuple[Column, Column]:
+    """The test for an IoU above ``threshold`` and the IoU, of boxes with the sum ``volumes``.
+
+    Conditions of joins compute what stands in them twice twice. So a bound, a hair low for its rounding,
+    settles most pairs with one intersection, and the exact test follows.
+    """
+    inter = B.intersection_volume(a, b)
+    # the test divides once and needs no zero case: an empty intersection is never above 0
+    iou = inter / (volumes - inter)
+    least = volumes * F.lit(threshold / (1 + threshold) * (1 - 1e-9))
+    return (inter > least) & (iou > threshold), iou
+
+
 def iou_join(
     left: DataFrame,
     right: DataFrame,
@@ -30,9 +43,12 @@ def iou_join(
     case: str = "case_id",
     cell: int = 8,
     max_group: int = 4096,
+    only: Column | None = None,
 ) -> DataFrame:
     """Pairs within a case with IoU strictly above ``threshold``, with their ``iou``.
 
+    ``only`` is a condition on columns of both sides; boxes are looked at where it holds.
+
     Cases with more than ``max_group`` squared pairs are blocked on the level grid of ``levels``,
     whose finest cells have edges of ``cell``. From a threshold of 0.5 on, a pair shares more than
     half of either box on every axis and so contains both centres: right boxes stand in the cells
@@ -57,13 +73,14 @@ def iou_join(
     ]
     pairs = F.col("_nl") * F.col("_nr") / (float(max_group) * max_group)
     blocked = sizes[0].join(sizes[1], case).where(pairs > 1).select(
-        case, F.least(F.lit(MOST_BLOCKS), F.ceil(F.sqrt(pairs))).cast("int").alias("_parts"), "_tl", "_tr"
+        # a case is left to its cells until it has twice the bound: the grid parts it already
+        case, F.least(F.lit(MOST_BLOCKS), F.floor(F.sqrt(pairs))).cast("int").alias("_parts"), "_tl", "_tr"
     )
+    wanted = F.lit(True) if only is None else only
     if blocked.isEmpty():
         a, b = F.col(left_box), F.col(right_box)
-        inter = B.intersection_volume(a, b)
-        iou = inter / (B.box_volume(a) + B.box_volume(b) - inter)
-        return left.join(right, case).where(iou > threshold).withColumn("iou", iou)
+        above, iou = _overlap(a, b, B.box_volume(a) + B.box_volume(b), threshold)
+        return left.join(right, case).where(wanted & above).withColumn("iou", iou)
     sides = []
     for df, box, volume, own, dealt, met in (
         (left, left_box, "_vl", "_ol", "_i", "_j"), (right, right_box, "_vr", "_or", "_j", "_i")
@@ -91,14 +108,12 @@ def iou_join(
     at_corner = F.lit(True)
     for i, axis in enumerate(AXES if threshold < 0.5 else ()):
         at_corner = at_corner & (~hot | (corner_cell(a, b, axis, F.col("_level"), cell) == F.col(f"_c{i}")))
-    # the test divides once and needs no zero case: an empty intersection is never above 0
-    inter = B.intersection_volume(a, b)
-    iou = inter / (F.col("_vl") + F.col("_vr") - inter)
+    above, iou = _overlap(a, b, F.col("_vl") + F.col("_vr"), threshold)
     keys = [case, "_blocked", *CELL, "_i", "_j"]
     return (
         first.drop("_tl", "_tr").join(second.drop("_tl", "_tr"), keys)
         # the corner test is cheap and settles most repeated pairs
-        .where(at_corner & (iou > threshold))
+        .where(wanted & at_corner & above)
         .withColumn("iou", iou)
         .drop("_vl", "_vr", "_ol", "_or", *keys[1:])
     )

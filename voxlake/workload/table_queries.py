@@ -102,7 +102,7 @@ def j4_pairs(spark, d):
     left = V.spread(both).select("case_id", F.col("fold").alias("a"), F.col("box").alias("left_box"))
     right = both.select("case_id", F.col("fold").alias("b"), F.col("box").alias("right_box"))
     # about half of the cases exceed this bound and take the grid-blocked plan
-    joined = iou_join(left, right, 0.5, cell=32, max_group=100).where("a < b")
+    joined = iou_join(left, right, 0.5, cell=32, max_group=100, only=F.col("a") < F.col("b"))
     return joined.groupBy("case_id").agg(
         F.count("*").alias("n_pairs"),
         r(F.max("iou"), 9).alias("best"),
