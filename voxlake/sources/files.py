@@ -23,21 +23,86 @@ from voxlake.schemas import HEADER
 # Header type names that mean an unsigned byte.
 BYTE_TYPES = ("uchar", "unsigned char", "uint8", "uint8_t")
 READ_BYTES = 65_536
+LENGTHS = "path STRING, length LONG"
+# folders that Spark does not read
+HIDDEN = re.compile(r"\.|_(?!.*=)")
+
+
+def _under(root: str, recursive: bool) -> Iterator[tuple[str, int | None]]:
+    """(path, length) of the volumes in a folder; its folders come without a length if not ``recursive``.
+
+    Folders are read one after the other. Hidden ones are left out, as Spark leaves them out.
+    """
+    local = re.match(r"file:/*(?=/)", root)  # a local name may hold what a URI may not
+    filesystem, inner = (fs.LocalFileSystem(), root[local.end() :]) if local else fs.FileSystem.from_uri(root)
+    named = re.compile(r"(DATA|MASK)_.*\.nrrd", re.DOTALL).fullmatch
+    infos, folders = [filesystem.get_file_info(inner)], []
+    while True:
+        for info in infos:
+            path = root + info.path[len(inner) :]
+            if info.type == fs.FileType.File and named(info.base_name):
+                yield path, info.size
+            elif info.type == fs.FileType.Directory:
+                if recursive or path == root:
+                    folders.append(info.path)
+                elif not HIDDEN.match(info.base_name):
+                    yield path, None
+        if not folders:
+            return
+        infos = filesystem.get_file_info(fs.FileSelector(folders.pop()))
+        infos = [i for i in infos if i.type == fs.FileType.File or not HIDDEN.match(i.base_name)]
+
+
+def _listed_under(recursive: bool):
+    """Arrow function: folders (path) to (path, length) of what ``_under`` finds."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("length", pa.int64())])
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = _under(folder, recursive)
+                while some := list(islice(rows, READ_BYTES)):
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return listed
+
+
+def _roots(spark: SparkSession, root: str) -> list[str]:
+    """Whole names of what ``root`` (perhaps a glob) stands for; none if Arrow does not know the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    filesystem = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = filesystem.globStatus(filesystem.makeQualified(path)) or []
+    roots = [status.getPath().toString() for status in found]
+    try:
+        if roots and not roots[0].startswith("file:"):
+            fs.FileSystem.from_uri(roots[0])
+    except pa.ArrowInvalid:
+        return []
+    return roots
 
 
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, kind, case_id) of all volume and mask files below ``root``.
 
-    Only names and lengths are listed; the content column is pruned. The case number
-    is parsed as an integer, so any zero padding and any nesting fits.
+    Tasks list them, a folder in the root with all below by one, so the driver holds no names. On file
+    systems that only Spark knows, its planner lists them. The case number is parsed as an integer, so
+    any zero padding and any nesting fits.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "{DATA,MASK}_*.nrrd")
-        .load(root)
-        .select("path", "length")
-    )
+    if roots := _roots(spark, root):
+        names = F.explode(F.array(*map(F.lit, roots)))
+        top = spark.range(1).select(names.alias("path")).mapInArrow(_listed_under(False), LENGTHS)
+        cores = spark.sparkContext.defaultParallelism
+        folders = top.where("length IS NULL").select("path").repartition(cores, "path")
+        listed = top.where("length IS NOT NULL").unionByName(folders.mapInArrow(_listed_under(True), LENGTHS))
+    else:
+        listed = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "{DATA,MASK}_*.nrrd")
+            .load(root)
+            .select("path", "length")
+        )
     return listed.withColumn("kind", F.substring_index(base_name(F.col("path")), "_", 1)).withColumn(
         "case_id", case_id_from_name(F.col("path"))
     )
