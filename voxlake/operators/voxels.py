@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxlake.functions.frames import resampled_size
 from voxlake.schemas import AXES, PROFILE_POSITIONS, SLICE_PERCENTILES
 
+# voxels along an axis whose outputs one task makes at once, and outputs of a batch
+BRICK, BATCH_OUTPUTS = 32, 1 << 16
+
 
 def mask_stats(voxels: DataFrame) -> DataFrame:
     """Per case: tight box, foreground count, rounded centroid, mask values.
@@ -211,6 +219,110 @@ def _axis_weight(
     return F.when(at > last + F.lit(0.5), F.when(index == last, F.lit(0.0))).otherwise(weight)
 
 
+def _axis_reads(size: int, brick: int, edge: int, spacing: float, target: float) -> tuple[np.ndarray, ...]:
+    """Outputs of a brick along one axis: (index, its lower voxel in the brick, weights of this and the next voxel).
+
+    The same rule as ``_axis_weight``; a next voxel that has no weight has NaN.
+    """
+    last = size - 1
+    out = np.arange(max(1, int(np.rint(size * spacing / target))))
+    at = out * (target / spacing)
+    near = np.minimum(at, float(last))
+    low = np.floor(near).astype(np.int64)
+    beyond = at > last + 0.5
+    lower, upper = 1 - np.abs(near - low), 1 - np.abs(near - (low + 1))
+    lower, upper = np.where(beyond, 0.0, lower), np.where(beyond | (upper <= 0), np.nan, upper)
+    here = low // edge == brick
+    return out[here], low[here] - brick * edge, lower[here], upper[here]
+
+
+def _along(axis: int, reads: tuple[np.ndarray, ...], total: np.ndarray, known: np.ndarray, present: np.ndarray):
+    """The outputs of one axis: weighted sums of voxels, and whether any has a value, and is there at all."""
+    _, low, lower, upper = reads
+    shape = [-1 if i == axis else 1 for i in range(3)]
+    high = np.minimum(low + 1, total.shape[axis] - 1)
+    two = ~np.isnan(upper).reshape(shape)
+    with np.errstate(invalid="ignore"):
+        sums = total.take(low, axis) * lower.reshape(shape)
+        sums += np.where(two, total.take(high, axis) * upper.reshape(shape), 0.0)
+    any_of = [m.take(low, axis) | (two & m.take(high, axis)) for m in (known, present)]
+    return sums, *any_of
+
+
+def _brick_outputs(cell: np.ndarray, values: np.ndarray, sizes, bricks, edge: int, spacing, target) -> Iterator[tuple]:
+    """(d0, d1, d2, sums, known) of the outputs of a brick, batch by batch; ``values`` are NaN with ``known`` false if NULL."""
+    values, known_rows = values
+    dims = [min(edge + 1, n - b * edge) for n, b in zip(sizes, bricks, strict=True)]
+    at = np.ravel_multi_index(np.unravel_index(cell, (edge + 1,) * 3), dims)
+    cells = prod(dims)
+    present = (np.bincount(at, minlength=cells) > 0).reshape(dims)
+    known = (np.bincount(at[known_rows], minlength=cells) > 0).reshape(dims)
+    total = np.bincount(at[known_rows], values[known_rows], cells).reshape(dims)
+    reads = [_axis_reads(n, b, edge, s, t) for n, b, s, t in zip(sizes, bricks, spacing, target, strict=True)]
+    if not all(len(r[0]) for r in reads):
+        return
+    planes = max(1, BATCH_OUTPUTS // (len(reads[1][0]) * len(reads[2][0])))
+    for k in range(0, len(reads[0][0]), planes):
+        some = [tuple(x[k : k + planes] for x in reads[0]), *reads[1:]]
+        grids = (total, known, present)
+        for axis in range(3):
+            grids = _along(axis, some[axis], *grids)
+        sums, valued, there = grids
+        where = np.nonzero(there)
+        yield *[some[axis][0][where[axis]] for axis in range(3)], sums[where], valued[where]
+
+
+def _resample_finer(
+    voxels: DataFrame, counts: Sequence[str], spacing: Sequence[float], target: Sequence[float], value: str
+) -> DataFrame:
+    """Linear resampling to more outputs than there are voxels: voxels are shuffled, outputs are not.
+
+    Voxels meet in bricks of ``BRICK`` a side and those next to them, and each output is made in the brick
+    of its lower neighbours.
+    """
+    edge = BRICK
+    names = [f"_b{i}" for i in range(3)]
+    rows = voxels
+    for axis, count, name in zip(AXES, counts, names, strict=True):
+        index = F.col(axis).cast("bigint")
+        # the first of a brick is the upper neighbour of outputs of the one before
+        own = F.sequence(F.floor(F.greatest(index - 1, F.lit(0)) / edge), F.floor(index / edge))
+        rows = rows.where(index.between(0, F.col(count) - 1)).withColumn(name, F.explode(own))
+    cell = F.lit(0).cast("bigint")
+    for axis, name in zip(AXES, names, strict=True):
+        cell = cell * (edge + 1) + (F.col(axis) - F.col(name) * edge)
+    voxel = F.struct(cell.cast("int").alias("cell"), F.col(value).cast("double").alias("value"))
+    packed = rows.groupBy("case_id", *counts, *names).agg(F.collect_list(voxel).alias("_voxels"))
+    schema = T.StructType(
+        [
+            voxels.schema["case_id"],
+            *[T.StructField(a, T.LongType()) for a in AXES],
+            T.StructField(value, T.DoubleType()),
+        ]
+    )
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            lists = batch.column("_voxels")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            cells, held = flat.field(0).to_numpy(), flat.field(1)
+            known = held.is_valid().to_numpy(zero_copy_only=False)
+            held = held.to_numpy(zero_copy_only=False)
+            sizes = list(zip(*(batch.column(c).to_pylist() for c in counts), strict=True))
+            bricks = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+            for r in range(batch.num_rows):
+                one = slice(ends[r], ends[r + 1])
+                made = _brick_outputs(cells[one], (held[one], known[one]), sizes[r], bricks[r], edge, spacing, target)
+                for *at, sums, valued in made:
+                    case = pa.repeat(batch.column("case_id")[r], len(sums))
+                    columns = [case, *map(pa.array, at), pa.array(sums, mask=~valued)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    return packed.mapInArrow(resample, schema)
+
+
 def resample_volume(
     voxels: DataFrame,
     sizes: DataFrame,
@@ -224,7 +336,8 @@ def resample_volume(
     Every source voxel is sent to the few outputs it contributes to, instead of every
     output fetching eight neighbours: there is no gather join, voxels that no output
     reads are dropped before the shuffle, and partial sums combine on the map side.
-    ``nearest`` has one source per output and does not shuffle at all.
+    ``nearest`` has one source per output and does not shuffle at all. Where outputs are more than
+    the voxels, these are shuffled instead.
 
     ``sizes(case_id, n_d0, n_d1, n_d2)`` holds one row per case; a volume without one fails
     the job.
@@ -239,6 +352,8 @@ def resample_volume(
     for name in counts:
         unknown = F.raise_error(message).cast(sizes.schema[name].dataType)
         out = out.withColumn(name, F.coalesce(name, unknown))
+    if mode == "linear" and prod(target) < prod(spacing):
+        return _resample_finer(out, counts, spacing, target, value)
     # axis by axis, so that voxels no output reads are dropped as early as possible
     for i, axis in enumerate(AXES):
         index, size = F.col(axis).cast("bigint"), F.col(f"n_{axis}").cast("bigint")
